@@ -4,7 +4,7 @@ Every word is the mean of the vectors of its hashed character n-grams, every
 window of ``WINDOW`` words the mean of its words, and a linear softmax over that
 mean gives the probability of the toxic class.  Vectors and softmax are trained
 jointly (L-BFGS with weight decay, numpy) on windows of labelled documents.  A label belongs to a
-document and not to its windows, so training starts from whole documents and
+document and not to its windows, so training starts from document frequencies and
 goes on, round by round, with the windows of toxic documents that the model finds
 more toxic than clean ones, against the worst windows of every clean document.
 
@@ -40,8 +40,6 @@ MIN_DOCS = 3
 DECAY, STEPS = 3e-4, 25
 #: Bound of the training sample, per class; labels are taken in the order of a hash of doc_id.
 TRAIN_PER_CLASS = 2000
-#: So many documents of a class, whole, start the training.
-WHOLE = 1000
 ROUNDS = 4
 
 
@@ -182,9 +180,22 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
         part = turn[toxic[turn] == t]
         held[part[: len(part) // 5 if len(part) >= 50 else 0]] = True
     fitted = turn[~held[turn]]
-    whole = np.concatenate([fitted[toxic[fitted] == t][:WHOLE] for t in (0, 1)])
-    theta = np.concatenate([(rng.random(DIM * len(used)) - 0.5) * 0.02, rng.random(DIM * 2) - 0.5, np.zeros(2)])
-    theta = _minimise(_joint(*bags(first[whole], first[whole + 1], toxic[whole]), len(used)), theta, STEPS)
+    # start: one dimension holds each n-gram's signed deviation of document frequency between the classes
+    mine = np.zeros(len(first), bool)
+    mine[fitted] = True
+    share = []
+    for t in (0, 1):
+        here = pair[(mine & np.append(toxic == t, False))[pair % len(first)]] // len(first)
+        n = (toxic[fitted] == t).sum()
+        share.append((np.minimum(np.bincount(gram, weights=np.bincount(here, minlength=len(at))[gword], minlength=len(used)) / n, 1), n))
+    (p0, n0), (p1, n1) = share
+    mean = (p0 * n0 + p1 * n1) / (n0 + n1)
+    signed = (p1 - p0) / np.sqrt(np.maximum(mean * (1 - mean), 1e-4) * (1 / n0 + 1 / n1))
+    emb = (rng.random((DIM, len(used))) - 0.5) * 0.02
+    emb[0] += signed / max(1, np.abs(signed).max())
+    soft = np.zeros((DIM, 2))
+    soft[0] = -1, 1
+    theta = np.concatenate([emb.ravel(), soft.ravel(), np.zeros(2)])
 
     count = np.diff(first)[fitted]
     k = np.where(count <= WINDOW, 1, -(-(count - WINDOW) // STRIDE) + 1)
