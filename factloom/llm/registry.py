@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import neardup, toxicity
+from . import bpe, neardup, toxicity
 
-MODULES = [toxicity, neardup]
+MODULES = [bpe, toxicity, neardup]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
