@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 from ._text import mix, pieces, raw, words
 from ._util import documents, fresh
 
-BUCKETS, DIM, WINDOW, STRIDE = 1 << 18, 2, 16, 8
+BUCKETS, DIM, WINDOW, STRIDE = 1 << 18, 2, 8, 4
 NGRAMS = (3, 4, 5)
 #: N-grams are learnt if at least so many documents of the sample have them.
 MIN_DOCS = 3
-DECAY, STEPS = 3e-4, 25
+DECAY, STEPS = 2e-5, 15
 #: Bound of the training sample, per class; labels are taken in the order of a hash of doc_id.
 TRAIN_PER_CLASS = 2000
-ROUNDS = 4
+ROUNDS = 3
+#: Deviations of document frequency within so many standard errors start at zero.
+NOISE = 3.0
 
 
 @dataclass
@@ -191,6 +193,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
     (p0, n0), (p1, n1) = share
     mean = (p0 * n0 + p1 * n1) / (n0 + n1)
     signed = (p1 - p0) / np.sqrt(np.maximum(mean * (1 - mean), 1e-4) * (1 / n0 + 1 / n1))
+    signed = np.sign(signed) * np.maximum(np.abs(signed) - NOISE, 0)
     emb = (rng.random((DIM, len(used))) - 0.5) * 0.02
     emb[0] += signed / max(1, np.abs(signed).max())
     soft = np.zeros((DIM, 2))
