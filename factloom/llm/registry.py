@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, toxicity
+from . import bpe, mixing, neardup, packing, pii, topk, toxicity
 
-MODULES = [bpe, toxicity, neardup]
+MODULES = [bpe, mixing, packing, toxicity, topk, pii, neardup]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
