@@ -13,20 +13,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a session that runs in
-    one local process (tests) falls back to a temporary folder of its own.
+    Only a session that runs in one local process (tests) falls back to a temporary folder of its own.
     """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        current = sc._jsc.sc().getCheckpointDir()
+        folder = tempfile.mkdtemp(prefix="factloom-") if current.isEmpty() else current.get()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's checkpoint folder, with its lineage cut."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir is not set")
-            folder = tempfile.mkdtemp(prefix="factloom-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

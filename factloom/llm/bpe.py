@@ -275,8 +275,9 @@ def decode_column(column: Column, path: str = VOCABULARY) -> Column:
     return bpe_decode(column)
 
 
-def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str | None = PATTERN) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, decodes): ids of each text, and whether decoding them gives the text's bytes."""
+def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str | None = PATTERN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep``..., n_tokens, token_ids, decodes): ids of each text, and whether decoding them gives the text's bytes."""
+    keep = ("doc_id", *keep)
     get = _holder(read_vocabulary(path), pattern)
 
     def run(batches):
@@ -298,10 +299,10 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str | None = PATTE
                 o = np.concatenate(off)
                 null = np.asarray(part.is_null())
                 lists = pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, len(part)), pa.array(np.diff(o).astype(np.int32), mask=null), lists, pa.array(np.concatenate(ok), mask=null)], ["doc_id", "n_tokens", "token_ids", "decodes"])
+                yield pa.RecordBatch.from_arrays([*(b[c].slice(i, len(part)) for c in keep), pa.array(np.diff(o).astype(np.int32), mask=null), lists, pa.array(np.concatenate(ok), mask=null)], [*keep, "n_tokens", "token_ids", "decodes"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens int, token_ids array<int>, decodes boolean")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}n_tokens int, token_ids array<int>, decodes boolean")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
