@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, html, licenses, mixing, neardup, packing, pii, topk, toxicity
+from . import ann, bpe, html, licenses, mixing, neardup, packing, pii, topk, toxicity
 
-MODULES = [bpe, html, licenses, mixing, packing, toxicity, topk, pii, neardup]
+MODULES = [bpe, html, mixing, packing, ann, toxicity, licenses, topk, pii, neardup]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
