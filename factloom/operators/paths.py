@@ -13,7 +13,8 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def transpose(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*edges.columns)
+    flipped = {"src": "dst", "dst": "src"}
+    return edges.select(*[F.col(flipped.get(c, c)).alias(c) for c in edges.columns])
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:

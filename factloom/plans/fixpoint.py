@@ -19,7 +19,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir is not set")
             folder = tempfile.mkdtemp(prefix="factloom-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    # new names for the columns: the written plan's constraints may speak of columns that it doesn't have
+    done = df.checkpoint(eager=True)
+    return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])
 
 
 def grow(seed: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
