@@ -31,6 +31,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _WIDE_SPACES = [c.encode() for c in "\x85\xa0                　"]
 #: Fragments remembered at most; a cache only, results don't depend on it.
 REMEMBERED = 1 << 19
+#: Pieces of more bytes are cut at certain cuts before they are merged.
+LONG_PIECE = 64
 
 
 class Vocabulary:
@@ -134,11 +137,13 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, pattern: str | None = PATTERN):
         self.vocab, self.pattern = vocab, regex.compile(pattern) if pattern else None
+        # the same merges as merge() in compiled code, used if the vocabulary has every single byte
+        full = all(bytes([i]) in vocab.ranks for i in range(256))
+        self.merged = tiktoken.Encoding("merges", pat_str=r"\S+", mergeable_ranks=vocab.ranks, special_tokens={})._core_bpe.encode_single_piece if full else lambda p: merge(p, vocab.ranks)
         self._forget()
 
     def _forget(self) -> None:
         self.codes: dict[bytes, int] = {}
-        self.known: dict[bytes, list[int]] = {}
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.first, self.count, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
@@ -160,29 +165,27 @@ class Encoder:
         start[off[:-1][off[:-1] < len(data)]] = True
         return np.flatnonzero(start)
 
-    def _fragment(self, piece: bytes) -> list[int]:
-        """Ids of a piece that nothing but certain cuts may split further."""
-        got = self.known.get(piece)
-        if got is None:
-            if piece in self.vocab.ranks:
-                got = [self.vocab.ranks[piece]]
-            else:
-                a = np.frombuffer(piece, np.uint8)
-                cut = np.flatnonzero(~self.vocab.inside[a[:-1], a[1:]]) + 1
-                got, lo = [], 0
-                for hi in [*cut.tolist(), len(piece)]:
-                    got += merge(piece[lo:hi], self.vocab.ranks)
-                    lo = hi
-            self.known[piece] = got
+    def _piece(self, piece: bytes) -> list[int]:
+        """Ids of a piece that nothing but certain cuts may split further; a long one is cut before it is merged."""
+        if len(piece) <= LONG_PIECE:
+            return self.merged(piece)
+        a = np.frombuffer(piece, np.uint8)
+        cut = np.flatnonzero(~self.vocab.inside[a[:-1], a[1:]]) + 1
+        got, lo = [], 0
+        for hi in [*cut.tolist(), len(piece)]:
+            got += self.merged(piece[lo:hi])
+            lo = hi
         return got
 
     def _learn(self, frag: bytes) -> int:
-        if self.pattern is None:
-            ids = self._fragment(frag)
+        if frag in self.vocab.ranks and self.pattern is None:
+            ids = [self.vocab.ranks[frag]]
+        elif self.pattern is None:
+            ids = self._piece(frag)
         else:
             ids = []
             for piece in self.pattern.findall(frag.decode("utf-8", "surrogateescape")):
-                ids += self._fragment(piece.encode("utf-8", "surrogateescape"))
+                ids += self._piece(piece.encode("utf-8", "surrogateescape"))
         if self.n == len(self.first):
             self.first, self.count = np.resize(self.first, 2 * self.n), np.resize(self.count, 2 * self.n)
         while self.used + len(ids) > len(self.ids):
@@ -198,7 +201,7 @@ class Encoder:
         """(ids of all texts, offsets of each text's ids)."""
         if len(data) == 0:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-        if len(self.codes) > REMEMBERED or len(self.known) > REMEMBERED:
+        if len(self.codes) > REMEMBERED:
             self._forget()
         start = self._cuts(data, off)
         text, get, learn = data.tobytes(), self.codes.get, self._learn
