@@ -33,9 +33,13 @@ def none_of(*ps: Column) -> Column:
     return ~any_of(*ps)
 
 
+def _some_contains(types: str, part: str) -> Column:
+    return F.exists(types, lambda p: p.contains(part))
+
+
 def has_params(types: str, *wanted: str) -> Column:
     """Each wanted string is part of some parameter type (``types`` is an array)."""
-    return all_of(*[F.exists(types, lambda p, w=w: p.contains(w)) for w in wanted])
+    return all_of(*[_some_contains(types, w) for w in wanted])
 
 
 def has_receiver(column: str, part: str) -> Column:
@@ -196,10 +200,9 @@ def ordered(sites: DataFrame, ops: DataFrame, a: str, b: str, blocks: DataFrame
     t = sites.join(g, "func", "left")
     ab = ba = F.lit(False)
     if blocks is not None:
-        d = blocks.select("func", F.col("node").alias("n"), F.col("dominator").alias("m"), F.lit(True).alias("yes"))
         for name, lo, hi in (("ab", "a", "b"), ("ba", "b", "a")):
-            x = d.withColumnRenamed("yes", name)
-            t = t.join(x, (t.func == x.func) & (F.col(f"{lo}.block") == F.col("m")) & (F.col(f"{hi}.block") == F.col("n")), "left").drop(x.func, "n", "m")
+            x = blocks.select(F.col("func").alias("f"), F.col("node").alias("n"), F.col("dominator").alias("m"), F.lit(True).alias(name))
+            t = t.join(x, (F.col("func") == F.col("f")) & (F.col(f"{lo}.block") == F.col("m")) & (F.col(f"{hi}.block") == F.col("n")), "left").drop("f", "n", "m")
         ab, ba = _sure(F.col("ab")), _sure(F.col("ba"))
     cat = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(same & (F.col("a.ord") <= F.col("b.ord")) | ~same & ab, "a-dominates-b").when(same | ba, "b-dominates-a").otherwise("unordered")
     return t.select(F.col("func").alias("site"), cat.alias("category"))

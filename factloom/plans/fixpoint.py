@@ -19,9 +19,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir is not set")
             folder = tempfile.mkdtemp(prefix="factloom-")
         sc.setCheckpointDir(folder)
-    # new names for the columns: the written plan's constraints may speak of columns that it doesn't have
-    done = df.checkpoint(eager=True)
-    return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # the written plan would keep constraints on columns it doesn't have, and later unions fail on them
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
 
 
 def grow(seed: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:

@@ -503,8 +503,10 @@ def lock_escape(t):
 
 # calls and returns
 
-_CFL = f"""{_REACH}, ci AS (SELECT src, dst, dst % 3 AS id FROM d WHERE src < 12), nn AS (SELECT src AS node FROM ci UNION SELECT dst FROM ci),
-bl AS (SELECT node AS src, node AS dst FROM nn UNION (WITH b0 AS (SELECT * FROM bl) SELECT x.src, y.src FROM ci x JOIN b0 b ON x.dst = b.src JOIN ci y ON b.dst = y.dst AND x.id = y.id UNION SELECT l.src, r.dst FROM b0 l JOIN b0 r ON l.dst = r.src))"""
+# every edge is a call site of its own, so a valid path returns to callers and then calls
+_TAINT = f"""{_REACH.replace("d AS (SELECT src, dst FROM e WHERE src < dst)", "d AS (SELECT src, dst FROM e WHERE src < dst AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey IN (src, dst) AND n_regionkey = {{skip}}))")},
+d0 AS (SELECT src, dst FROM dcl UNION SELECT src, src FROM d UNION SELECT dst, dst FROM d)
+SELECT DISTINCT a.dst AS source, b.dst AS sink FROM d0 a JOIN d0 b ON a.src = b.src JOIN nation x ON x.n_nationkey = a.dst JOIN nation y ON y.n_nationkey = b.dst WHERE x.n_regionkey = 0 AND y.n_regionkey = 1"""
 
 
 @query(None)
@@ -512,14 +514,14 @@ def valid_paths(t):
     return W.valid_paths(checkpointed(dag(t).withColumn("id", F.col("dst") % 3)))
 
 
-@query(None)
+@query(_TAINT.replace("{skip}", "-1"))
 def taint_flows(t):
     c = checkpointed(dag(t).withColumn("id", F.monotonically_increasing_id()))
     n = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), "n_regionkey")
     return W.taint_flows(c, n.where("n_regionkey = 0"), n.where("n_regionkey = 1"))
 
 
-@query(None)
+@query(_TAINT.replace("{skip}", "2"))
 def taint_sanitized(t):
     c = checkpointed(dag(t).withColumn("id", F.monotonically_increasing_id()))
     n = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), "n_regionkey")
