@@ -11,7 +11,8 @@ the base of the number of pages that have the node:
   plus ``G**l`` times the styles' importances weighted by frequency, a style's being the
   mean of its children's.
 
-A node that only one page has is worth 1.  A branch of which no node reaches
+A node that only one page has is worth 1, a leaf without features (a line break)
+nothing, but it isn't removed alone.  A branch of which no node reaches
 ``THRESHOLD`` is removed from each page; the rest gives the page's text.
 
 Pages are read three times and never shuffled: what is shuffled are counts of
