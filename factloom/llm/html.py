@@ -44,7 +44,8 @@ from ._text import mix
 from ._util import checkpointed, documents, fresh
 
 GAMMA = 0.9
-THRESHOLD = 0.4
+#: A leaf goes if its features are on more than about m ** (1 - THRESHOLD) of a host's m pages.
+THRESHOLD = 0.6
 DEEPEST = 200
 #: Sets of at most this many keys are sent to the tasks; larger ones take joins.
 SENT_KEYS = 2_000_000
