@@ -24,6 +24,7 @@ word itself is the shingle.  Repeated rows are duplicates and one stays.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 from ._text import mix, pieces, words
 from ._util import checkpointed, documents, fresh, row_key, small_side
 
-CHUNKS, PER_CHUNK, ERRORS = 13, 5, 1
+CHUNKS, PER_CHUNK, ERRORS = 11, 6, 2
 SLOTS = CHUNKS * PER_CHUNK
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 WIDTH = 2 * SLOTS
+_KEPT = list(itertools.combinations(range(PER_CHUNK), PER_CHUNK - ERRORS))
+KEYS = CHUNKS * len(_KEPT)
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, SLOTS, np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, SLOTS, np.uint64).astype(np.uint32)
@@ -81,27 +84,24 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def keys(sig: np.ndarray) -> np.ndarray:
-    """The index keys of each signature (rows of ``sig``): every chunk with each of its slots left out."""
-    out = np.empty((len(sig), SLOTS), np.uint64)
+    """The index keys of each signature (rows of ``sig``): every chunk with each choice of ERRORS slots left out."""
+    out = np.empty((len(sig), KEYS), np.uint64)
     wide = sig.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for c in range(CHUNKS):
-            slots = wide[:, c * PER_CHUNK : (c + 1) * PER_CHUNK]
-            for e in range(PER_CHUNK):
-                k = np.zeros(len(sig), np.uint64)
-                for j in range(PER_CHUNK):
-                    if j != e:
-                        k = (k << np.uint64(16)) | slots[:, j]
-                out[:, c * PER_CHUNK + e] = mix(mix(k) + np.uint64(c * PER_CHUNK + e + 1))
+        for n, (c, kept) in enumerate(itertools.product(range(CHUNKS), _KEPT)):
+            k = np.zeros(len(sig), np.uint64)
+            for j in kept:
+                k = (k << np.uint64(16)) | wide[:, c * PER_CHUNK + j]
+            out[:, n] = mix(mix(k) + np.uint64(n + 1))
     return out
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo in range(0, b.num_rows, 8192):
-            part = b.slice(lo, 8192)
+        for lo in range(0, b.num_rows, 4096):
+            part = b.slice(lo, 4096)
             k = keys(_matrix(part["sig"]))
-            ids = np.repeat(part["rid"].to_numpy(zero_copy_only=False), SLOTS)
+            ids = np.repeat(part["rid"].to_numpy(zero_copy_only=False), KEYS)
             yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(ids)], ["key", "rid"])
 
 
