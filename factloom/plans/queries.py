@@ -547,13 +547,13 @@ def dispatch_class(t):
     return _sites(t).groupBy("class").agg(F.count(F.lit(1)).alias("sites"), F.max("n").alias("most"))
 
 
-_NARROWED = f"WITH {_SITE}, wd AS (SELECT l_orderkey, count(DISTINCT s) AS narrowed_from FROM (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) JOIN (SELECT DISTINCT p_brand, l_suppkey AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45) USING (p_brand) GROUP BY l_orderkey)"
+_NARROWED = f"WITH {_SITE}, wd AS (SELECT l_orderkey, count(DISTINCT s) AS narrowed_from FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem) USING (l_partkey) GROUP BY l_orderkey)"
 
 
 @query(f"{_NARROWED} SELECT l_orderkey, n, narrowed_from FROM st LEFT JOIN wd USING (l_orderkey)")
 def dispatch_narrowed_from(t):
-    line = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    wide = line.select("l_orderkey", "p_brand").distinct().join(line.where("l_quantity >= 45").select("p_brand", F.col("l_suppkey").alias("candidate")).distinct(), "p_brand")
+    line = t.lineitem.select("l_orderkey", "l_partkey", F.col("l_suppkey").alias("candidate"))
+    wide = line.select("l_orderkey", "l_partkey").distinct().join(line.select("l_partkey", "candidate").distinct(), "l_partkey")
     return W.narrowed_from(_sites(t), wide, ["l_orderkey"]).select("l_orderkey", "n", "narrowed_from")
 
 
