@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,19 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _WORD[_lo:_hi] = True
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def relax() -> None:
+    """Give freed memory back to the system: an executor's Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def _powers(x: U) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumprod(np.concatenate([[U(1)], np.full(_WIN, x, U)]), dtype=U)

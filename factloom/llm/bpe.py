@@ -35,7 +35,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import pieces, raw
+from ._text import pieces, raw, relax
 from ._util import documents
 
 VOCABULARY = os.environ.get("FACTLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -45,7 +45,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _WIDE_SPACES = [c.encode() for c in "\x85\xa0                　"]
 #: Fragments remembered at most; a cache only, results don't depend on it.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Pieces of more bytes are cut at certain cuts before they are merged.
 LONG_PIECE = 64
 
@@ -285,7 +285,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str | None = PATTE
 
     def run(batches):
         for b in batches:
-            for i, part in pieces(b["text"], 8 << 20):
+            for i, part in pieces(b["text"], 4 << 20):
                 enc, ids, off, ok = get(), [], [np.zeros(1, np.int64)], []
                 base = 0
                 for _, small in pieces(part):
@@ -303,6 +303,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str | None = PATTE
                 null = np.asarray(part.is_null())
                 lists = pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays([*(b[c].slice(i, len(part)) for c in keep), pa.array(np.diff(o).astype(np.int32), mask=null), lists, pa.array(np.concatenate(ok), mask=null)], [*keep, "n_tokens", "token_ids", "decodes"])
+            relax()
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}n_tokens int, token_ids array<int>, decodes boolean")

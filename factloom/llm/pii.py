@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import pieces, relax
 from ._util import documents, fresh
 
 MIN_SCORE = 0.5
@@ -183,6 +184,7 @@ def findings(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
                     stop.append(hi)
                     score.append(s)
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(row, pa.int64())), pa.array(kind, pa.string()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(score, pa.float64())], ["doc_id", "kind", "begin", "stop", "score"])
+            relax()
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {key}, kind string, begin int, stop int, score double")
@@ -193,7 +195,11 @@ def redact(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([redacted(t.as_py(), min_score) for t in texts], pa.string())
+        done = [pa.array([redacted(t.as_py(), min_score) for t in part], pa.string()) for _, part in pieces(texts)]
+        out = pa.concat_arrays(done) if done else pa.array([], pa.string())
+        del done
+        relax()
+        return out
 
     new = fresh("masked")
     out = docs.withColumn(new, masked("text"))

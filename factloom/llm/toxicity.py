@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import mix, pieces, raw, words
+from ._text import mix, pieces, raw, relax, words
 from ._util import documents, fresh
 
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 18, 2, 8, 4
@@ -282,7 +282,7 @@ class Scorer:
             new = at[~hit]
             g, off = _grams(data, start[new], end[new])
             v[~hit] = _mean(self.model.grams[g], off)
-            if len(self.known) > 1_000_000:  # a cache only: forgetting changes no result
+            if len(self.known) > 500_000:  # a cache only: forgetting changes no result
                 self.known, self.value = u, v
             else:
                 k = np.concatenate([self.known, u[~hit]])
@@ -338,7 +338,9 @@ def score_column(model: Model | None, column: str = "text"):
     def toxic_score(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(Scorer(model))
-        return pa.array(score(texts, held[0]))
+        out = pa.array(score(texts, held[0]))
+        relax()
+        return out
 
     return toxic_score(F.col(column))
 
