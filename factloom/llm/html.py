@@ -2,13 +2,14 @@
 
 The DOMs of a host's pages are merged into one style tree.  An element node is
 known by its place: the style (sequence of children's tags and classes) of its
-parent, and its position therein.  Importance is an entropy, with logarithms to
-the base of the number of pages that have the node:
+parent, and its position therein.  Importance is an entropy:
 
 * of a leaf, one minus the mean entropy of its features (sentences, link
-  targets) over the pages: what is the same everywhere is worth nothing;
+  targets) over the pages, with logarithms to the base of the number of the host's
+  pages: what is the same everywhere is worth nothing, what a few copies of an
+  article share is worth much, also where no other page has their layout;
 * of an inner node with l styles, ``(1 - G**l)`` times the entropy of its styles
-  plus ``G**l`` times the styles' importances weighted by frequency, a style's being the
+  (logarithms to the base of the number of pages that have the node) plus ``G**l`` times the styles' importances weighted by frequency, a style's being the
   mean of its children's.
 
 A node that only one page has is worth 1, a leaf without features (a line break)
@@ -206,6 +207,17 @@ def _leaves(shared: np.ndarray | None) -> Callable:
     return run
 
 
+def _worth(leaf: tuple[int, float], pages: int) -> float:
+    """Importance of a shared leaf on a host of so many pages."""
+    count, nats = leaf
+    return max(0.0, 1 - nats / math.log(pages) / count)
+
+
+def host_pages(styles: dict[int, list[tuple[int, int, int, int]]]) -> int:
+    """Pages of the host; all have the root, so no node is on more."""
+    return max((sum(s[3] for s in own) for own in styles.values()), default=0)
+
+
 def importance(styles: dict[int, list[tuple[int, int, int, int]]], leaf: dict[int, tuple[int, float]], gamma: float = GAMMA) -> tuple[dict[int, float], dict[int, float]]:
     """(importance, greatest importance in the branch) of each shared inner node.
 
@@ -215,6 +227,7 @@ def importance(styles: dict[int, list[tuple[int, int, int, int]]], leaf: dict[in
     """
     imp: dict[int, float] = {}
     top: dict[int, float] = {}
+    pages = host_pages(styles)
     for key in sorted(styles, key=lambda k: -styles[k][0][2]):
         own = styles[key]
         m = sum(s[3] for s in own)
@@ -235,8 +248,7 @@ def importance(styles: dict[int, list[tuple[int, int, int, int]]], leaf: dict[in
                 if k in imp:
                     x, t = imp[k], top[k]
                 elif k in leaf:
-                    count, nats = leaf[k]
-                    x = t = max(0.0, 1 - nats / math.log(n) / count)
+                    x = t = _worth(leaf[k], pages)
                 else:
                     x = t = 0.0
                 total += x
@@ -263,6 +275,7 @@ def _noise(threshold: float, gamma: float) -> Callable:
         for k in styles:
             styles[k].sort()
         _, top = importance(styles, leaf, gamma)
+        pages = host_pages(styles)
         noisy: list[int] = []
         todo = [k for k, s in styles.items() if s[0][2] == 0]
         while todo:  # the highest nodes of noisy branches
@@ -277,7 +290,7 @@ def _noise(threshold: float, gamma: float) -> Callable:
                     c = kid_key(s, i)
                     if c in styles:
                         todo.append(c)
-                    elif c in leaf and 1 - leaf[c][1] / math.log(n) / leaf[c][0] < threshold:
+                    elif c in leaf and _worth(leaf[c], pages) < threshold:
                         noisy.append(c)
         return pa.table({"host": pa.array([group["host"][0].as_py()] * len(noisy), pa.int64()), "node": _signed(noisy)})
 

@@ -259,6 +259,17 @@ def test_html_against_brute_force(spark):
     assert got[102] == (None, 0) and got[103] == ("", 0) and got[104][0] == "x<"
 
 
+def test_html_keeps_copies_in_a_layout_of_their_own(spark):
+    own = lambda k, what: page("".join(f"<p>{what} {k} line {j} here." for j in range(k)))
+    rows = [(i, f"http://big.example/{i}", page(f"<h1>Head {i}.</h1><p>Story {i} here.")) for i in range(40)]
+    rows += [(100 + i, f"http://big.example/copy{i}", own(7, "Copied")) for i in range(2)]
+    rows += [(200 + i, f"http://big.example/pair{i}", own(9, f"Pair {i // 2}")) for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"Copied 7 line {j} here." in got[p] for p in (100, 101) for j in range(7))
+    assert all(f"Pair {i // 2} 9 line {j} here." in got[200 + i] for i in range(4) for j in range(9))
+    assert all("Home page" not in t and "All rights" not in t for t in got.values())
+
+
 def test_html_wide_sets_take_joins(spark, monkeypatch):
     df = pages_table(spark)
     want = {r.page_id: r.text for r in html.extract(df).collect()}
