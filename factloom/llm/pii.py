@@ -2,7 +2,9 @@
 
 Regular expressions propose spans over the whole text.  A validator then confirms
 or refuses each one (Luhn for cards, mod-97 for IBANs, octet ranges for IPv4,
-issued ranges for social security numbers, digit variety for secrets).  Words
+issued ranges for social security numbers, digit variety for secrets).  Of a
+refused card or IBAN the shorter parts that end with a group (of an IBAN, at its
+country's length) are tried, then the search goes on behind its first character.  Words
 within ``CONTEXT_CHARS`` characters raise the score of a span (or lower it, as a
 version number does an address); spans of at least ``MIN_SCORE`` are findings.
 Of overlapping spans the one of higher score stays, then the longer, then the
@@ -30,6 +32,16 @@ from ._util import documents, fresh
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 48
 CONTEXT_GAIN = 0.3
+#: Characters of an account number, by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 
 
 def luhn(digits: str) -> bool:
@@ -63,6 +75,17 @@ def _iban(s: str) -> bool:
     return 15 <= len(t) <= 34 and mod97(t)
 
 
+def _card_ends(s: str) -> Iterator[int]:
+    """Ends of the shorter cards that stop where a group does, longest first."""
+    return (i for i in range(len(s) - 1, 12, -1) if s[i] in " -" and s[i - 1] not in " -")
+
+
+def _iban_ends(s: str) -> Iterator[int]:
+    """The end that the country's length gives; of an unknown country all ends of groups, longest first."""
+    n = IBAN_LENGTHS.get(s[:2])
+    return (i for i in range(len(s) - 1, 14, -1) if s[i] == " " and (n is None or i - s.count(" ", 0, i) == n))
+
+
 def _ssn(s: str) -> bool:
     a, b, c = s.split("-")
     return a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000"
@@ -96,6 +119,7 @@ class Detector:
     words: frozenset = field(default_factory=frozenset)  #: context that raises the score
     against: frozenset = field(default_factory=frozenset)  #: context that lowers it
     needs: str = ""  #: character without which the pattern can't match
+    ends: Callable[[str], Iterator[int]] | None = None  #: shorter ends of a span to try if it is refused
 
 
 def _set(words: str) -> frozenset:
@@ -106,8 +130,8 @@ _D = "(?<![0-9A-Za-z_])"
 _E = "(?![0-9A-Za-z_])"
 DETECTORS = (
     Detector("EMAIL", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email, 0.9, _set("email mail e-mail contact correo courriel"), needs="@"),
-    Detector("CARD", re.compile(_D + r"[2-6][0-9](?:[ -]?[0-9]){11,17}" + _E), _card, 0.6, _set("card credit visa mastercard amex payment pay karte tarjeta carte cvv")),
-    Detector("IBAN", re.compile(_D + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}" + _E), _iban, 0.9, _set("iban account bank konto compte cuenta")),
+    Detector("CARD", re.compile(_D + r"[2-6][0-9](?:[ -]?[0-9]){11,17}" + _E), _card, 0.6, _set("card credit visa mastercard amex payment pay karte tarjeta carte cvv"), ends=_card_ends),
+    Detector("IBAN", re.compile(_D + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}" + _E), _iban, 0.9, _set("iban account bank konto compte cuenta"), ends=_iban_ends),
     Detector("SSN", re.compile(r"(?<![0-9A-Za-z_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_-])"), _ssn, 0.5, _set("ssn social security"), _set("isbn part order")),
     Detector("IP", re.compile(r"(?<![0-9A-Za-z_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_]|\.[0-9])"), _ipv4, 0.6, _set("ip host server address client adresse"), _set("version v release section chapter"), needs="."),
     Detector("PHONE", re.compile(r"(?<![0-9A-Za-z_.+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z_])"), _phone, 0.7, _set("phone tel call mobile fax telefon"), needs="+"),
@@ -121,6 +145,20 @@ _WORD = re.compile(r"[^\W\d]+(?:[-_][^\W\d]+)*")
 _ANY_DIGIT = re.compile(r"[0-9]")
 
 
+def _confirmed(d: Detector, text: str) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the spans that the validator confirms, of a refused one the longest shorter part that it does."""
+    at = 0
+    while (m := d.pattern.search(text, at)) is not None:
+        a, b = m.span()
+        if not d.valid(m[0]):
+            b = -1 if d.ends is None else next((a + e for e in d.ends(m[0]) if d.valid(m[0][:e])), -1)
+        if b > a:
+            yield a, b
+            at = b
+        else:
+            at = m.end() if d.ends is None else a + 1
+
+
 def spans(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int, int, float]]:
     """(kind, begin, end, score) of the findings of a text, in order."""
     if not text:
@@ -132,10 +170,8 @@ def spans(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int
             continue
         if d.kind == "SECRET" and not d.needs and not digit:
             continue
-        for m in d.pattern.finditer(text):
-            if not d.valid(m[0]):
-                continue
-            score, a, b = d.score, m.start(), m.end()
+        for a, b in _confirmed(d, text):
+            score = d.score
             if d.words or d.against:
                 near = {w.lower() for w in _WORD.findall(text[max(0, a - CONTEXT_CHARS) : a])} | {w.lower() for w in _WORD.findall(text[b : b + CONTEXT_CHARS])}
                 score += CONTEXT_GAIN * bool(near & d.words) - CONTEXT_GAIN * bool(near & d.against)

@@ -157,6 +157,22 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, ()).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "IBAN", "DE89370400440532013000"),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "IBAN", "DE89 3704 0044 0532 0130 00"),
+        ("ref AB12 DE89370400440532013000.", "IBAN", "DE89370400440532013000"),
+        ("4111 1111 1111 1111 12/27", "CARD", "4111 1111 1111 1111"),
+        ("4111-1111-1111-1111 12/27", "CARD", "4111-1111-1111-1111"),
+        ("order 23 4111 1111 1111 1111", "CARD", "4111 1111 1111 1111"),
+    ],
+)
+def test_numbers_before_and_after_a_number(text, kind, span):
+    assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text)] == [(kind, span)]
+    assert pii.redacted(text) == text.replace(span, f"[{kind}]")
+
+
 def test_fingerprints_find_any_long_passage():
     index = licenses.Index()
     h = index.words[4]
