@@ -4,7 +4,8 @@ Regular expressions propose spans over the whole text.  A validator then confirm
 or refuses each one (Luhn for cards, mod-97 for IBANs, octet ranges for IPv4,
 issued ranges for social security numbers, digit variety for secrets).  Of a
 refused card or IBAN the shorter parts that end with a group (of an IBAN, at its
-country's length) are tried, then the search goes on behind its first character.  Words
+country's length) are tried, then the search goes on behind its first character.
+A private key goes up to its END line, however long; without one only its BEGIN line is found.  Words
 within ``CONTEXT_CHARS`` characters raise the score of a span (or lower it, as a
 version number does an address); spans of at least ``MIN_SCORE`` are findings.
 Of overlapping spans the one of higher score stays, then the longer, then the
@@ -120,6 +121,7 @@ class Detector:
     against: frozenset = field(default_factory=frozenset)  #: context that lowers it
     needs: str = ""  #: character without which the pattern can't match
     ends: Callable[[str], Iterator[int]] | None = None  #: shorter ends of a span to try if it is refused
+    until: re.Pattern | None = None  #: a span goes on to the next match of this, if it comes before the next beginning
 
 
 def _set(words: str) -> frozenset:
@@ -138,8 +140,8 @@ DETECTORS = (
     Detector("PHONE", re.compile(r"(?<![0-9A-Za-z_.+])\(?[2-9][0-9]{2}(?:\) ?|[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z_-])"), _phone, 0.5, _set("phone tel call mobile fax telefon"), _set("order part id")),
     Detector("PHONE", re.compile(_D + r"[2-9][0-9]{9}" + _E), _phone, 0.25, _set("phone tel call mobile fax telefon")),
     Detector("ACCESS_KEY", re.compile(r"(?<![0-9A-Za-z_])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z_])"), lambda s: True, 0.9, _set("aws key secret access"), needs="A"),
-    Detector("SECRET", re.compile(r"(?<=[=:\"' ])(?<![0-9A-Za-z_])[A-Za-z0-9_+/-]{20,128}(?![0-9A-Za-z_+/-])"), _secret, 0.25, _set("token secret password passwd pwd api_key apikey key bearer authorization")),
-    Detector("SECRET", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]{0,8192}-----END [A-Z ]{0,30}PRIVATE KEY-----)?"), lambda s: True, 1.0, needs="-----B"),
+    Detector("SECRET", re.compile(r"(?<=[=:\"' ])(?<![0-9A-Za-z_])[A-Za-z0-9_+/-]{20,}(?![0-9A-Za-z_+/-])"), _secret, 0.25, _set("token secret password passwd pwd api_key apikey key bearer authorization")),
+    Detector("SECRET", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"), lambda s: True, 1.0, needs="-----B", until=re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")),
 )
 _WORD = re.compile(r"[^\W\d]+(?:[-_][^\W\d]+)*")
 _ANY_DIGIT = re.compile(r"[0-9]")
@@ -150,6 +152,10 @@ def _confirmed(d: Detector, text: str) -> Iterator[tuple[int, int]]:
     at = 0
     while (m := d.pattern.search(text, at)) is not None:
         a, b = m.span()
+        if d.until is not None:
+            after = d.pattern.search(text, b)
+            if (end := d.until.search(text, b, after.start() if after else len(text))) is not None:
+                b = end.end()
         if not d.valid(m[0]):
             b = -1 if d.ends is None else next((a + e for e in d.ends(m[0]) if d.valid(m[0][:e])), -1)
         if b > a:
