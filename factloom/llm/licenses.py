@@ -7,7 +7,8 @@ it, so any passage of at least ``GRAM + WINNOW - 1`` words in common with a temp
 found.  Hits of a template on about the same diagonal are one candidate, which
 is aligned word by word within a band (matches +1, gaps and changes -1, best
 local alignment).  Reported are the matched words, their share of the template,
-and the span in the document.  Of overlapping reports the one with more matched
+and the span in the document, whatever the share, from ``MIN_MATCHED`` matched words on
+(of shorter templates from ``SHORT_COVERAGE`` on).  Of overlapping reports the one with more matched
 words stays, then the one of higher coverage.
 
 A narrow map over whole texts: templates are constants, nothing is shuffled.
@@ -30,7 +31,12 @@ from ._text import mix, pieces, raw, words
 from ._util import documents
 
 GRAM, WINNOW = 3, 3
-MIN_COVERAGE = 0.75
+#: The shortest passage that is certain to be found.
+MIN_MATCHED = GRAM + WINNOW - 1
+#: Share of a template that is reported below ``MIN_MATCHED`` words.
+SHORT_COVERAGE = 0.75
+#: Share of a template that is asked for besides; consumers can filter by coverage.
+MIN_COVERAGE = 0.0
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     (
@@ -84,6 +90,55 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution.",
+    ),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license "
+        "(the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit "
+        "third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. "
+        "This software is distributed without any warranty.",
+    ),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
 )
 
 
@@ -181,7 +236,7 @@ def reports(index: Index, h: np.ndarray, min_coverage: float = MIN_COVERAGE) ->
             k += 1
         a = max(0, first - band)
         matched, begin, end = align(index.words[t].tolist(), seq[a : last + size + band], first - a, band + last - first)
-        if matched and matched >= min_coverage * size:
+        if matched and matched >= min_coverage * size and (matched >= MIN_MATCHED or matched >= SHORT_COVERAGE * size):
             found.append((t, matched, round(matched / size, 4), a + begin, a + end))
     found.sort(key=lambda r: (-r[1], -r[2], r[3], r[0]))
     kept: list[tuple[int, int, float, int, int]] = []

@@ -157,6 +157,17 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, ()).count() == 0
 
 
+def test_license_parts_and_two_clause_bsd(spark):
+    apache, mit = licenses.TEMPLATES[1][1].split(), licenses.TEMPLATES[4][1].split()
+    bsd = dict(licenses.TEMPLATES)["BSD-3-Clause"]
+    two = bsd[: bsd.index(" Neither the name")]
+    rows = [(1, f"x {two} y"), (2, bsd), (3, " ".join(apache[:30])), (4, " ".join(mit[60:90])), (5, " ".join(mit[10:12]))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "BSD-2-Clause"), (2, "BSD-3-Clause"), (3, "Apache-2.0"), (4, "MIT")]
+    cover = {r.doc_id: r.coverage for r in got}
+    assert cover[1] == cover[2] == 1.0 and 0.2 < cover[3] < 0.5 and 0.1 < cover[4] < 0.3
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "span"),
     [
