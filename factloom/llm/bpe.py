@@ -4,25 +4,29 @@ A pair of adjacent bytes that no vocabulary token contains can never end up in
 one token, so between the two bytes is a certain cut: the fragments between
 certain cuts are encoded independently and their ids concatenated.  The 256 x
 256 table of pairs comes from the vocabulary once; the cuts of a batch are one
-vectorised lookup over its bytes.  Equal fragments are encoded once and
-remembered.
+vectorised lookup over its bytes, and every one of them is taken.
 
 A tokenizer with a pre-tokenising pattern additionally never merges across the
-pattern's matches.  Cuts before the first whitespace byte after other text are
-matches' bounds whatever stands around them, so certain cuts of that kind
-separate fragments, and inside a fragment the pattern and the remaining certain
-cuts apply.  The ids equal those of the plain algorithm on the whole text.
-
-Defined results: a null text gives null ids, an empty one an empty list; text is
-encoded as it is (strings of special tokens are ordinary text) and decoding
-returns exactly its bytes.  Repeated rows each give their ids.  The vocabulary is
+bounds of the pattern's matches.  Those of the byte-level 50k pattern are found by
+vectorised comparisons of neighbouring characters' classes, those of another pattern by
+running it; fragments end at the union of both kinds.  Distinct fragments are
+merged side by side in numpy: those with the same number of parts are one matrix,
+and each step joins in every row its leftmost pair of least rank.
+
+The ids equal those of the plain algorithm on the whole text.  Defined results: a null text
+gives null ids, an empty one an empty list; a text is encoded whole, however long, and as it is
+(strings of special tokens are ordinary text); decoding returns exactly its bytes.  Repeated rows
+each give their ids; pairs of equal rank are joined from the left.  An empty table gives no rows.
+Columns of other names than ``doc_id`` and ``text`` are ignored unless kept by name.  Of a text that
+another pattern matches in part only the matches are encoded.  The vocabulary is
 a tiktoken-style file (base64 token, space, rank), read on the driver from a path
-that is a parameter.
+that is a parameter; a token that merges can't produce never appears.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import os
@@ -31,7 +35,6 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +44,24 @@ from ._util import documents
 VOCABULARY = os.environ.get("FACTLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Pre-tokenising pattern of the byte-level 50k vocabulary; None is plain BPE over the whole text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-_WIDE_SPACES = [c.encode() for c in "\x85\xa0                　"]
 #: Fragments remembered at most; a cache only, results don't depend on it.
 REMEMBERED = 1 << 18
-#: Pieces of more bytes are cut at certain cuts before they are merged.
-LONG_PIECE = 64
+#: Fragments of more bytes are merged one by one with a heap instead of in matrices; the ids are the same.
+WIDE = 64
+_NONE = np.int32((1 << 31) - 1)
+
+
+@functools.cache
+def classes() -> np.ndarray:
+    """Class of each code point: 0 white space, 1 the space, 2 letters, 3 numbers, 4 others (invalid bytes too)."""
+    out = np.full(0x110000, 4, np.uint8)
+    every = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+    text = every.astype("<u4").tobytes().decode("utf-32-le")
+    for kind, pat in ((0, r"\s+"), (2, r"\p{L}+"), (3, r"\p{N}+")):
+        for m in regex.finditer(pat, text):
+            out[every[m.start() : m.end()]] = kind
+    out[32] = 1
+    return out
 
 
 class Vocabulary:
@@ -68,6 +82,40 @@ class Vocabulary:
         self.lens, self.flat = lens, np.frombuffer(b"".join(parts), np.uint8)
         self.first = np.concatenate([[0], np.cumsum(lens)])[:-1]
 
+    @functools.cached_property
+    def joins(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every pair of tokens that forms a token, as sorted keys, and that token."""
+        get, keys, made = self.ranks.get, [], []
+        for t, r in self.ranks.items():
+            for i in range(1, len(t)):
+                a, b = get(t[:i]), get(t[i:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    made.append(r)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        return np.array(keys, np.int64)[order], np.array(made, np.int32)[order]
+
+    @functools.cached_property
+    def bytes_ids(self) -> np.ndarray:
+        """Token of each single byte."""
+        return np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that each pair of tokens forms, _NONE where it forms none."""
+        keys, made = self.joins
+        if len(keys) == 0:
+            return np.full(len(a), _NONE)
+        k = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(keys, k)
+        at[at == len(keys)] = 0
+        return np.where(keys[at] == k, made[at], _NONE)
+
+    @functools.cached_property
+    def byte_joins(self) -> np.ndarray:
+        """:meth:`joined` of all pairs of single bytes."""
+        ids = self.bytes_ids
+        return self.joined(np.repeat(ids, 256), np.tile(ids, 256)).reshape(256, 256)
+
     @property
     def bits(self) -> int:
         """Bits that hold any id."""
@@ -91,8 +139,6 @@ def read_vocabulary(path: str = VOCABULARY) -> bytes:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Plain BPE: again and again the leftmost pair of least rank becomes one token."""
-    if piece in ranks:
-        return [ranks[piece]]
     n = len(piece)
     if n <= 64:
         parts = [piece[i : i + 1] for i in range(n)]
@@ -132,70 +178,184 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def merge_many(frags: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all fragments, number of each one's ids), as :func:`merge` gives them.
+
+    A pool holds all fragments that have ``w`` parts left, as a matrix of parts and one of the tokens that neighbours
+    form.  A step joins one pair in each row, so all rows get to ``w - 1`` parts, where the next shorter fragments join them.
+    """
+    size = np.array([len(f) for f in frags], np.int64)
+    count = np.zeros(len(frags), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(size > WIDE).tolist():
+        done.append((np.array([i]), np.array([merge(frags[i], vocab.ranks)], np.int32)))
+    short = np.flatnonzero((size <= WIDE) & (size > 0))
+    by = [short[size[short] == w] for w in range(WIDE + 1)]
+    most = int(size[short].max()) if len(short) else 0
+    who, part, pair = np.zeros(0, np.int64), np.zeros((0, most), np.int32), np.zeros((0, max(0, most - 1)), np.int32)
+    for w in range(most, 0, -1):
+        if len(new := by[w]):
+            raw_ = np.frombuffer(b"".join([frags[i] for i in new.tolist()]), np.uint8).reshape(len(new), w)
+            who = np.concatenate([who, new])
+            part = np.concatenate([part, vocab.bytes_ids[raw_]])
+            pair = np.concatenate([pair, vocab.byte_joins[raw_[:, :-1], raw_[:, 1:]]])
+        if w == 1 or len(who) == 0:
+            if len(who):
+                done.append((who, part))
+            who, part, pair = who[:0], part[:0, : w - 1], pair[:0, : max(0, w - 2)]
+            continue
+        low = pair.min(1)
+        if (low == _NONE).any():
+            end = low == _NONE
+            done.append((who[end], part[end]))
+            who, part, pair, low = who[~end], part[~end], pair[~end], low[~end]
+        n = len(who)
+        rows, at = np.arange(n), pair.argmin(1)
+        part[rows, at] = low
+        stay = np.ones((n, w), bool)
+        stay[rows, at + 1] = False
+        part = part[stay].reshape(n, w - 1)
+        stay = np.ones((n, w - 1), bool)
+        stay[rows, at] = False
+        pair = pair[stay].reshape(n, w - 2)
+        r = np.flatnonzero(at > 0)
+        pair[r, at[r] - 1] = vocab.joined(part[r, at[r] - 1], part[r, at[r]])
+        r = np.flatnonzero(at < w - 2)
+        pair[r, at[r]] = vocab.joined(part[r, at[r]], part[r, at[r] + 1])
+    for i, m in done:
+        count[i] = m.shape[1]
+    first = np.concatenate([[0], np.cumsum(count)])
+    ids = np.empty(first[-1], np.int32)
+    for i, m in done:
+        ids[first[i][:, None] + np.arange(m.shape[1])] = m
+    return ids, count
+
+
+def bounds(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether a match of PATTERN begins at each byte of the texts that begin at ``off``.
+
+    Runs of letters, of numbers and of other characters are matches, with one space before them if there is one; white space
+    before them is one match up to its last character, which is one of its own if it isn't a space; an apostrophe that
+    begins a match takes s, t, m, d, re, ve or ll with it.
+    """
+    n = len(data)
+    start = np.zeros(n, bool)
+    if n == 0:
+        return start
+    if (data < 128).all():
+        point, at = data, None
+    else:
+        text = data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass")
+        point = np.frombuffer(text, "<u4")
+        wide = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
+        wide[(point >= 0xDC80) & (point <= 0xDCFF)] = 1  # a byte that isn't UTF-8
+        at = np.cumsum(wide) - wide
+    kind = classes()[point]
+    group = np.maximum(kind, 1)
+    m = len(kind)
+    head = np.zeros(m + 3, bool)
+    begin = off[:-1][off[:-1] < n]
+    head[begin if at is None else np.searchsorted(at, begin)] = True
+    head[m:] = True
+    b = np.ones(m, bool)
+    np.not_equal(group[1:], group[:-1], out=b[1:])
+    b |= head[:m]
+    i = np.flatnonzero(b & ~head[:m] & (group > 1))
+    i = i[group[i - 1] == 1]  # white space goes before them
+    b[i[kind[i - 1] == 1]] = False
+    b[i - 1] = True
+    q = np.flatnonzero((point == 39) & b)
+    q = q[~head[q + 1]]
+    if len(q):
+        far = np.concatenate([point, np.zeros(2, point.dtype)])
+        x, y = far[q + 1], np.where(head[q + 2], 0, far[q + 2])
+        one = (x == 115) | (x == 116) | (x == 109) | (x == 100)
+        two = ~one & ((((x == 114) | (x == 118)) & (y == 101)) | ((x == 108) & (y == 108)))
+        b[q[one | two] + 1] = False
+        end = np.concatenate([q[one] + 2, q[two] + 3])
+        b[end[end < m]] = True
+    start[b if at is None else at[b]] = True
+    return start
+
+
 class Encoder:
     """Encodes and decodes batches; remembers fragments."""
 
     def __init__(self, vocab: Vocabulary, pattern: str | None = PATTERN):
-        self.vocab, self.pattern = vocab, regex.compile(pattern) if pattern else None
-        # the same merges as merge() in compiled code, used if the vocabulary has every single byte
-        full = all(bytes([i]) in vocab.ranks for i in range(256))
-        self.merged = tiktoken.Encoding("merges", pat_str=r"\S+", mergeable_ranks=vocab.ranks, special_tokens={})._core_bpe.encode_single_piece if full else lambda p: merge(p, vocab.ranks)
+        self.vocab, self.pattern = vocab, regex.compile(pattern) if pattern and pattern != PATTERN else None
+        self.plain = not pattern
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes: dict[bytes | int, int] = {}
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.first, self.count, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
-    def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Starts of fragments; texts start one each."""
-        certain = ~self.vocab.inside[data[:-1], data[1:]]
-        if self.pattern is not None:
-            space = _SPACE[data]
-            certain &= space[1:] & ~space[:-1]
-            text = data.tobytes()
-            for c in _WIDE_SPACES:  # cuts after whitespace of several bytes would split a run
-                at = text.find(c)
-                while at >= 0:
-                    if at + len(c) - 1 < len(certain):
-                        certain[at + len(c) - 1] = False
-                    at = text.find(c, at + 1)
-        start = np.zeros(len(data), bool)
-        start[1:] = certain
-        start[off[:-1][off[:-1] < len(data)]] = True
-        return np.flatnonzero(start)
-
-    def _piece(self, piece: bytes) -> list[int]:
-        """Ids of a piece that nothing but certain cuts may split further; a long one is cut before it is merged."""
-        if len(piece) <= LONG_PIECE:
-            return self.merged(piece)
-        a = np.frombuffer(piece, np.uint8)
-        cut = np.flatnonzero(~self.vocab.inside[a[:-1], a[1:]]) + 1
-        got, lo = [], 0
-        for hi in [*cut.tolist(), len(piece)]:
-            got += self.merged(piece[lo:hi])
-            lo = hi
-        return got
-
-    def _learn(self, frag: bytes) -> int:
-        if frag in self.vocab.ranks and self.pattern is None:
-            ids = [self.vocab.ranks[frag]]
+    def cuts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """(starts of fragments, whether each belongs to a match; None if all do): all certain cuts, the pattern's bounds, the texts' starts."""
+        inside = None
+        if self.plain:
+            start = np.zeros(len(data), bool)
         elif self.pattern is None:
-            ids = self._piece(frag)
+            start = bounds(data, off)
         else:
-            ids = []
-            for piece in self.pattern.findall(frag.decode("utf-8", "surrogateescape")):
-                ids += self._piece(piece.encode("utf-8", "surrogateescape"))
-        if self.n == len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * self.n), np.resize(self.count, 2 * self.n)
+            start, inside = np.zeros(len(data) + 1, bool), np.zeros(len(data), bool)
+            for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                text = data[a:z].tobytes().decode("utf-8", "surrogateescape")
+                back = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogateescape")) for c in text])]) if len(text) != z - a else None
+                for x in self.pattern.finditer(text):
+                    lo, hi = x.span() if back is None else back[list(x.span())]
+                    start[[a + lo, a + hi]] = True
+                    inside[a + lo : a + hi] = True
+            start = start[:-1]
+        start[1:] |= ~self.vocab.inside[data[:-1], data[1:]]
+        start[off[:-1][off[:-1] < len(data)]] = True
+        at = np.flatnonzero(start)
+        return at, None if inside is None else inside[at]
+
+    def _learn(self, keys: list, frags: list[bytes]) -> None:
+        """Remember the ids of new fragments under their keys."""
+        ids, count = merge_many(frags, self.vocab)
+        while self.n + len(frags) > len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.first[self.n], self.count[self.n] = self.used, len(ids)
+        self.first[self.n : self.n + len(frags)] = self.used + np.cumsum(count) - count
+        self.count[self.n : self.n + len(frags)] = count
+        self.codes.update(zip(keys, range(self.n, self.n + len(frags)), strict=True))
         self.used += len(ids)
-        self.codes[frag] = self.n
-        self.n += 1
-        return self.n - 1
+        self.n += len(frags)
+
+    def _codes(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Number of each fragment; one of up to 7 bytes is known by a 64-bit word of its bytes and length, another by its bytes."""
+        size = np.diff(start, append=len(data))
+        text = data.tobytes()
+        code = np.empty(len(start), np.int64)
+        short = np.flatnonzero(size < 8)
+        word = np.ndarray(len(data), "<u8", text + bytes(8), 0, (1,))
+        n = size[short].astype(np.uint64)
+        key = word[start[short]] & ((np.uint64(1) << (n << np.uint64(3))) - np.uint64(1)) | n << np.uint64(56)
+        u, inverse = np.unique(key, return_inverse=True)
+        keys, get = u.tolist(), self.codes.get
+        got = np.array([get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(got < 0).tolist()
+        if new:
+            mine = [keys[i] for i in new]
+            got[new] = np.arange(self.n, self.n + len(new))
+            self._learn(mine, [k.to_bytes(8, "little")[: k >> 56] for k in mine])
+        code[short] = got[inverse.ravel()]
+        wide = np.flatnonzero(size > 7)
+        lo = start[wide]
+        frags = [text[i:j] for i, j in zip(lo.tolist(), (lo + size[wide]).tolist(), strict=True)]
+        got = np.array([get(f, -1) for f in frags], np.int64)
+        new = np.flatnonzero(got < 0).tolist()
+        if new:
+            mine = list({frags[i]: None for i in new})
+            self._learn(mine, mine)
+            got[new] = [self.codes[frags[i]] for i in new]
+        code[wide] = got
+        return code
 
     def encode_flat(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids)."""
@@ -203,12 +363,11 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         if len(self.codes) > REMEMBERED:
             self._forget()
-        start = self._cuts(data, off)
-        text, get, learn = data.tobytes(), self.codes.get, self._learn
-        bounds = start.tolist()
-        bounds.append(len(data))
-        code = np.array([c if (c := get(f := text[i:j])) is not None else learn(f) for i, j in zip(bounds, bounds[1:], strict=False)], np.int64)
+        start, kept = self.cuts(data, off)
+        code = self._codes(data, start)
         n = self.count[code]
+        if kept is not None:
+            n = n * kept
         cum = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.first[code] - cum[:-1], n) + np.arange(cum[-1])]
         return ids, cum[np.searchsorted(start, off)]

@@ -36,6 +36,40 @@ def test_bpe_without_pattern_equals_plain_merging(text):
     assert enc.encode(pa.array([text])).to_pylist()[0] == (bpe.merge(text.encode(), VOCAB.ranks) if text else [])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from(list(" aB1!é\n")), max_size=60))
+def test_bpe_with_another_pattern(text):
+    pattern = r"\p{L}+|\d| +"
+    other = tiktoken.Encoding("o", pat_str=pattern, mergeable_ranks=VOCAB.ranks, special_tokens={})
+    got = bpe.Encoder(VOCAB, pattern).encode(pa.array(["a", text, text])).to_pylist()
+    assert got[1] == got[2] == other.encode_ordinary(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("abcde ")) | st.characters(codec="utf-8"), max_size=90), max_size=8))
+def test_bpe_merges_side_by_side(texts):
+    frags = [t.encode() for t in texts]
+    ids, count = bpe.merge_many(frags, VOCAB)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])][: len(frags)] == [bpe.merge(f, VOCAB.ranks) for f in frags] or not frags
+
+
+def test_bpe_takes_every_certain_cut():
+    text = "the quick zqjx fox isn't xqz.Vjq!\n\nfjord kwyjibo qvzx " * 3
+    data = np.frombuffer(text.encode(), np.uint8)
+    at, _ = bpe.encoder(bpe.read_vocabulary()).cuts(data, np.array([0, len(data)]))
+    certain = np.flatnonzero(~VOCAB.inside[data[:-1], data[1:]]) + 1
+    assert set(certain) <= set(at)
+    letters = [i for i in certain if text[i - 1].isalpha() and text[i].isalpha()]
+    assert len(letters) >= 6  # cuts inside words, where no pattern has a bound
+    got = bpe.encoder(bpe.read_vocabulary()).encode(pa.array([text])).to_pylist()[0]
+    assert got == TOKENS.encode_ordinary(text)
+
+
+def test_bpe_long_fragment():
+    text = "a" * 30000 + " " + "ab" * 10000
+    assert bpe.encoder(bpe.read_vocabulary()).encode(pa.array([text])).to_pylist()[0] == TOKENS.encode_ordinary(text)
+
+
 def test_bpe_edges(spark):
     got = bpe.encoded(edge_docs(spark, ("token_ids", "n_tokens")), keep=("source",)).collect()
     assert len(got) == len(EDGES)
