@@ -7,8 +7,7 @@ one document (or any id) is read by shifting two words, and a whole block by a
 few vectorised numpy operations.  Blocks are made where the documents are read,
 without a shuffle, of about ``BLOCK_IDS`` ids; a longer document has a block of its own.
 
-The ids are those of operator 1; here the tokenizer library encodes (equal by
-test), since packing is what this operator is about.
+The ids are those of operator 1, by its encoder.
 
 Defined results: a null text has no ids and is marked in ``nulls``; an empty one has none
 and isn't.  Repeated rows are packed each.  An empty table gives no block.  Ids
@@ -25,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import pieces
+from ._text import pieces, raw, relax
 from ._util import documents
-from .bpe import PATTERN, VOCABULARY, read_vocabulary, vocabulary
+from .bpe import PATTERN, VOCABULARY, encoder, read_vocabulary
 
 BLOCK_IDS = 1 << 18
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -87,17 +86,15 @@ def packed(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, bloc
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
         from pyspark import TaskContext
 
-        vocab = vocabulary(held.value)
-        enc = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=vocab.ranks, special_tokens={})
-        bits, task = vocab.bits, (TaskContext.get() or _Zero).partitionId()
+        enc = encoder(held.value, pattern)
+        bits, task = enc.vocab.bits, (TaskContext.get() or _Zero).partitionId()
         nth, count, ids, keys, nulls, sizes = 0, 0, [], [], [], []
         names = ["block", "bits", "n_ids", "doc_ids", "nulls", "offsets", "packed"]
 
         def block() -> pa.RecordBatch:
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             off = np.concatenate([[0], np.cumsum(sizes)])
             k = pa.concat_arrays(keys)
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
@@ -106,16 +103,16 @@ def packed(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, bloc
 
         for b in batches:
             for i, part in pieces(b["text"], 1 << 19):
-                lists = [enc.encode_ordinary(t) if t else [] for t in part.to_pylist()]
-                size = [len(x) for x in lists]
-                ids.append(np.fromiter((x for y in lists for x in y), np.int64, sum(size)))
-                sizes += size
+                flat, at = enc.encode_flat(*raw(part))
+                ids.append(flat)
+                sizes += np.diff(at).tolist()
                 keys.append(b["doc_id"].slice(i, len(part)))
                 nulls.append(np.asarray(part.is_null()))
-                count += sum(size)
+                count += len(flat)
                 if count >= block_ids:
                     yield block()
                     nth, count, ids, keys, nulls, sizes = nth + 1, 0, [], [], [], []
+            relax()
         if keys:
             yield block()
 
