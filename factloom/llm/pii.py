@@ -1,8 +1,9 @@
 """Personal data and secrets: proposed by patterns, confirmed by checksums, scored by context (operator 9).
 
-Regular expressions propose spans over the whole text.  A validator then confirms
-or refuses each one (Luhn for cards, mod-97 for IBANs, octet ranges for IPv4,
-issued ranges for social security numbers, digit variety for secrets).  Of a
+Regular expressions propose spans over the whole text, none with a bound on its length but those that
+its kind's standard has.  A validator then confirms
+or refuses each one (Luhn for cards, mod-97 for IBANs, octet ranges for IPv4, parsing for IPv6, a JSON head for
+web tokens, issued ranges for social security numbers, digit variety for secrets).  Of a
 refused card or IBAN the shorter parts that end with a group (of an IBAN, at its
 country's length) are tried, then the search goes on behind its first character.
 A private key goes up to its END line, however long; without one only its BEGIN line is found.  Words
@@ -12,13 +13,17 @@ Of overlapping spans the one of higher score stays, then the longer, then the
 earlier.
 
 Defined results: a null or empty text has no findings, and redaction leaves it as
-it is.  Offsets count characters (code points), the end is exclusive.  Repeated
+it is; a text is searched whole, however long.  An empty table gives no rows.  Findings only carry ``doc_id``; redaction keeps
+all columns, whatever their names.  Of equal overlapping spans the kind that sorts first stays.  Offsets count characters (code points), the end is exclusive.  Repeated
 rows each give their findings.  Other columns are left alone; redaction sets
 ``n_chars`` to the new length where the text changed and the column exists.
 """
 
 from __future__ import annotations
 
+import base64
+import ipaddress
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -72,8 +77,10 @@ def _card(s: str) -> bool:
 
 
 def _iban(s: str) -> bool:
+    """An account number in capitals, or in another case of a known country's length."""
     t = s.replace(" ", "").upper()
-    return 15 <= len(t) <= 34 and mod97(t)
+    n = IBAN_LENGTHS.get(t[:2])
+    return (len(t) == n if n else 15 <= len(t) <= 34 and t == s.replace(" ", "")) and mod97(t)
 
 
 def _card_ends(s: str) -> Iterator[int]:
@@ -83,7 +90,7 @@ def _card_ends(s: str) -> Iterator[int]:
 
 def _iban_ends(s: str) -> Iterator[int]:
     """The end that the country's length gives; of an unknown country all ends of groups, longest first."""
-    n = IBAN_LENGTHS.get(s[:2])
+    n = IBAN_LENGTHS.get(s[:2].upper())
     return (i for i in range(len(s) - 1, 14, -1) if s[i] == " " and (n is None or i - s.count(" ", 0, i) == n))
 
 
@@ -97,6 +104,15 @@ def _ipv4(s: str) -> bool:
     return all(int(p) <= 255 and (p == "0" or p[0] != "0") for p in parts) and parts[0] != "0"
 
 
+def _ipv6(s: str) -> bool:
+    """An address of a range in use: global, unique local or link local."""
+    try:
+        a = ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return s[0] in "23" or s[:2].lower() in ("fc", "fd") or a.is_link_local
+
+
 def _phone(s: str) -> bool:
     d = _digits(s)
     return 10 <= len(d) <= 15 and len(set(d)) > 2
@@ -111,6 +127,15 @@ def _email(s: str) -> bool:
     return not local.startswith(".") and ".." not in s and not host.startswith("-")
 
 
+def _jwt(s: str) -> bool:
+    """A signed or encrypted token: the first part is the base64 of a JSON object."""
+    head = s[: s.index(".")]
+    try:
+        return isinstance(json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))), dict)
+    except ValueError:
+        return False
+
+
 @dataclass(frozen=True)
 class Detector:
     kind: str
@@ -131,16 +156,18 @@ def _set(words: str) -> frozenset:
 _D = "(?<![0-9A-Za-z_])"
 _E = "(?![0-9A-Za-z_])"
 DETECTORS = (
-    Detector("EMAIL", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email, 0.9, _set("email mail e-mail contact correo courriel"), needs="@"),
+    Detector("EMAIL", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}(?![A-Za-z0-9])"), _email, 0.9, _set("email mail e-mail contact correo courriel"), needs="@"),
     Detector("CARD", re.compile(_D + r"[2-6][0-9](?:[ -]?[0-9]){11,17}" + _E), _card, 0.6, _set("card credit visa mastercard amex payment pay karte tarjeta carte cvv"), ends=_card_ends),
-    Detector("IBAN", re.compile(_D + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}" + _E), _iban, 0.9, _set("iban account bank konto compte cuenta"), ends=_iban_ends),
+    Detector("IBAN", re.compile(_D + r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}" + _E), _iban, 0.9, _set("iban account bank konto compte cuenta"), ends=_iban_ends),
     Detector("SSN", re.compile(r"(?<![0-9A-Za-z_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_-])"), _ssn, 0.5, _set("ssn social security"), _set("isbn part order")),
     Detector("IP", re.compile(r"(?<![0-9A-Za-z_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_]|\.[0-9])"), _ipv4, 0.6, _set("ip host server address client adresse"), _set("version v release section chapter"), needs="."),
+    Detector("IP", re.compile(r"(?<![0-9A-Za-z_:.])[0-9A-Fa-f]{4}:(?:[0-9A-Fa-f]{0,4}:){1,6}(?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9A-Fa-f]{1,4})?(?![0-9A-Za-z_:]|\.[0-9])"), _ipv6, 0.6, _set("ip host server address client adresse"), needs=":"),
     Detector("PHONE", re.compile(r"(?<![0-9A-Za-z_.+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z_])"), _phone, 0.7, _set("phone tel call mobile fax telefon"), needs="+"),
     Detector("PHONE", re.compile(r"(?<![0-9A-Za-z_.+])\(?[2-9][0-9]{2}(?:\) ?|[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z_-])"), _phone, 0.5, _set("phone tel call mobile fax telefon"), _set("order part id")),
     Detector("PHONE", re.compile(_D + r"[2-9][0-9]{9}" + _E), _phone, 0.25, _set("phone tel call mobile fax telefon")),
     Detector("ACCESS_KEY", re.compile(r"(?<![0-9A-Za-z_])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z_])"), lambda s: True, 0.9, _set("aws key secret access"), needs="A"),
-    Detector("SECRET", re.compile(r"(?<=[=:\"' ])(?<![0-9A-Za-z_])[A-Za-z0-9_+/-]{20,}(?![0-9A-Za-z_+/-])"), _secret, 0.25, _set("token secret password passwd pwd api_key apikey key bearer authorization")),
+    Detector("SECRET", re.compile(r"(?<![0-9A-Za-z_.-])eyJ[A-Za-z0-9_-]+(?:\.{1,2}[A-Za-z0-9_-]+)+"), _jwt, 0.95, needs="eyJ"),
+    Detector("SECRET", re.compile(r"(?:(?<=[=:\"'\s(\[{,;>])|(?<![^\n]))[A-Za-z0-9_+/-]{20,}(?![0-9A-Za-z_+/-])"), _secret, 0.25, _set("token secret password passwd pwd api_key apikey key bearer authorization")),
     Detector("SECRET", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"), lambda s: True, 1.0, needs="-----B", until=re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")),
 )
 _WORD = re.compile(r"[^\W\d]+(?:[-_][^\W\d]+)*")
