@@ -56,7 +56,7 @@ def short_name(name: str) -> Column:
 def walk(nodes: DataFrame, root: int) -> DataFrame:
     """A node (tree, id, path, ...) and its descendants in pre-order: paths that begin with its own."""
     top = nodes.where(F.col("id") == root).select(F.col("tree").alias("t"), F.col("path").alias("p"))
-    inside = nodes.join(F.broadcast(top), (F.col("tree") == F.col("t")) & (F.slice("path", F.lit(1), F.size("p")) == F.col("p")))
+    inside = nodes.join(top, (F.col("tree") == F.col("t")) & (F.slice("path", F.lit(1), F.size("p")) == F.col("p")))
     return inside.drop("t", "p").orderBy("tree", "id")
 
 

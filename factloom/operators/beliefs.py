@@ -10,10 +10,12 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import checkpointed, grow
 from . import paths
 
 
@@ -70,11 +72,11 @@ def verdict(v: DataFrame, adherence: tuple[int, int] = (1, 2), min_sites: int =
 
 def deviations(sites: DataFrame, result: DataFrame) -> DataFrame:
     """The sites that don't follow the majority, with the pattern they miss."""
-    return sites.join(F.broadcast(result.select("pattern")), F.col("category") != F.col("pattern"))
+    return sites.join(F.broadcast(result.select("pattern")), ~F.col("category").eqNullSafe(F.col("pattern")))
 
 
 def adherents(sites: DataFrame, result: DataFrame) -> DataFrame:
-    return sites.join(F.broadcast(result.select("pattern")), F.col("category") == F.col("pattern"))
+    return sites.join(F.broadcast(result.select("pattern")), F.col("category").eqNullSafe(F.col("pattern")))
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,7 @@ class AggregateBelief:
     source: str = ""
 
 
-_SHAPE = "name string, pattern string, adherent long, total long, ratio double, status string, message string"
+_SHAPE = "name string, pattern string, adherent long, total long, ratio double, status string, message string, source string"
 
 
 class Beliefs:
@@ -122,17 +124,20 @@ class Beliefs:
             self.beliefs, self.aggregates, self._sites = saved
 
     def run(self) -> DataFrame:
-        """(name, pattern, adherent, total, ratio, status, message); status strong, weak, no-sites or error."""
+        """(name, pattern, adherent, total, ratio, status, message, source); status strong, weak, no-sites or error.
+
+        Every belief's votes are counted here, so that one that fails while it runs leaves the others alone.
+        """
         out = self.spark.createDataFrame([], _SHAPE)
         for b in self.beliefs:
             try:
                 sites = b.classify()
-                result = verdict(votes(sites), b.min_adherence, b.min_sites)
+                result = checkpointed(verdict(votes(sites), b.min_adherence, b.min_sites))
                 self._sites[b.name] = sites, result
                 name = self.spark.range(1).select(F.lit(b.name).alias("name"))
-                row = name.join(result, how="left").select("name", "pattern", F.coalesce("adherent", F.lit(0)).cast("long").alias("adherent"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), "ratio", F.coalesce("status", F.lit("no-sites")).alias("status"), F.lit(None).cast("string").alias("message"))
-            except (PySparkException, KeyError, ValueError, TypeError) as e:
-                row = self.spark.createDataFrame([(b.name, None, 0, 0, None, "error", str(e).split("\n")[0])], _SHAPE)
+                row = name.join(result, how="left").select("name", "pattern", F.coalesce("adherent", F.lit(0)).cast("long").alias("adherent"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), "ratio", F.coalesce("status", F.lit("no-sites")).alias("status"), F.lit(None).cast("string").alias("message"), F.lit(b.source).alias("source"))
+            except (PySparkException, Py4JJavaError, KeyError, ValueError, TypeError) as e:
+                row = self.spark.createDataFrame([(b.name, None, 0, 0, None, "error", str(e).split("\n")[0], b.source)], _SHAPE)
             out = out.unionByName(row)
         return out
 
@@ -141,7 +146,7 @@ class Beliefs:
         for a in self.aggregates:
             try:
                 found[a.name] = a.analyze()
-            except (PySparkException, KeyError, ValueError, TypeError) as e:
+            except (PySparkException, Py4JJavaError, KeyError, ValueError, TypeError) as e:
                 found[a.name] = f"error: {e}"
         return found
 
@@ -161,7 +166,7 @@ class Beliefs:
 
 def suppress_known(results: DataFrame, committed: DataFrame, on: str = "source") -> DataFrame:
     """Results whose expression equals no committed one; those without an expression pass."""
-    return results.join(committed.select(on).distinct(), on, "left_anti")
+    return results.join(committed.where(F.col(on).isNotNull() & (F.col(on) != "")).select(on).distinct(), on, "left_anti")
 
 
 def load_committed(path: str) -> list[dict]:
@@ -221,8 +226,6 @@ def dominates_call(sites: DataFrame, ops: DataFrame, dominance: DataFrame, a: st
 
 def flows_to_all(sites: DataFrame, starts: DataFrame, ends: DataFrame, edges: DataFrame) -> DataFrame:
     """Whether one start (func, node) reaches every end (func, node) along value edges (func, src, dst)."""
-    from ..plans.fixpoint import grow
-
     seed = starts.select("func", F.col("node").alias("root"), "node")
     e = edges.select(F.col("func").alias("f"), "src", "dst")
     reach = grow(seed, lambda x: x.join(e, (x.func == e.f) & (x.node == e.src)).select("func", "root", F.col("dst").alias("node")))
@@ -240,7 +243,9 @@ def single_call_site(sites: DataFrame, ops: DataFrame, name: str) -> DataFrame:
 
 def reaches_call(sites: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Whether a target (node) is among the transitive callees; the site itself doesn't count, one outside the graph is unresolved."""
-    hit = paths.closure(edges).join(targets.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("func")).distinct().withColumn("hit", F.lit(True))
+    e = checkpointed(edges.select("src", "dst").distinct())
+    into = e.join(targets.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("func"))
+    hit = grow(into, lambda f: f.join(e, f.func == e.dst).select(F.col("src").alias("func"))).withColumn("hit", F.lit(True))
     known = paths.nodes(edges).select(F.col("node").alias("func"), F.lit(True).alias("known"))
     t = sites.join(hit, "func", "left").join(known, "func", "left")
     return t.select(F.col("func").alias("site"), F.when(F.col("hit"), "reaches").when(F.col("known"), "unreached").otherwise("unresolved").alias("category"))
@@ -260,11 +265,9 @@ def co_mutated(sites: DataFrame, access: DataFrame, *fields: str) -> DataFrame:
 
 def checked_before_use(seeds: DataFrame, edges: DataFrame, guards: DataFrame, fuel: int = 5) -> DataFrame:
     """Whether a value (site, node) reaches a guard (node) in fewer than ``fuel`` def-use steps; NULL nodes are missing."""
-    from ..plans.fixpoint import grow
-
     e = edges.select("src", "dst").distinct()
-    reach = grow(seeds.where("node IS NOT NULL").select("site", "node"), lambda f: f.join(e, f.node == e.src).select("site", F.col("dst").alias("node")), fuel - 1)
-    hit = reach.join(guards.select("node").distinct(), "node", "left_semi").select("site").distinct().withColumn("hit", F.lit(True))
+    near = grow(guards.where("node IS NOT NULL").select("node"), lambda f: f.join(e, f.node == e.dst).select(F.col("src").alias("node")), fuel - 1)
+    hit = seeds.join(near, "node", "left_semi").select("site").distinct().withColumn("hit", F.lit(True))
     t = seeds.groupBy("site").agg(F.count("node").alias("n")).join(hit, "site", "left")
     return t.select("site", F.when(F.col("n") == 0, "missing").when(F.col("hit"), "guarded").otherwise("unguarded").alias("category"))
 
@@ -285,11 +288,27 @@ def receiver_asymmetry(funcs: DataFrame) -> DataFrame:
     return funcs.select(F.col("func").alias("site"), cat.alias("category"))
 
 
+def receiver_facts(funcs: DataFrame, access: DataFrame, params: DataFrame, interfaces: DataFrame, forwards: DataFrame) -> DataFrame:
+    """Facts for :func:`receiver_asymmetry` of functions (func, recv_type, short_name).
+
+    ``access`` (func, struct, field, mode) counts distinct fields of the receiver's type, ``params`` (func, ...) parameters;
+    a method is in an interface if ``interfaces`` (method, type) has its name for its type, a forwarder if ``forwards`` (func) has it.
+    """
+    f = funcs.select("func", F.regexp_replace("recv_type", r"^\*", "").alias("recv"), F.col("short_name").alias("method"))
+    own = access.join(f.select("func", F.col("recv").alias("struct")), ["func", "struct"], "left_semi").groupBy("func").agg(F.count_distinct(F.when(F.col("mode") == "write", F.col("field"))).alias("recv_writes"), F.count_distinct(F.when(F.col("mode") == "read", F.col("field"))).alias("recv_reads"))
+    n = params.groupBy("func").agg(F.count(F.lit(1)).alias("n_params"))
+    t = f.join(own, "func", "left").join(n, "func", "left")
+    t = t.join(interfaces.select(F.col("type").alias("recv"), "method").distinct().withColumn("in_interface", F.lit(True)), ["recv", "method"], "left")
+    t = t.join(forwards.select("func").distinct().withColumn("forwards", F.lit(True)), "func", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return t.select("func", F.lit(True).alias("found"), F.col("recv").isNotNull().alias("is_method"), zero("recv_writes").alias("recv_writes"), zero("n_params").alias("n_params"), zero("recv_reads").alias("recv_reads"), _sure(F.col("in_interface")).alias("in_interface"), _sure(F.col("forwards")).alias("forwards"))
+
+
 def conventions(calls: DataFrame, share: tuple[int, int] = (3, 5), min_members: int = 5) -> DataFrame:
     """(type, member, missing): members (type, member, callee) of large types that lack a callee which at least ``share`` of the type's members have."""
     pairs = calls.select("type", "member", "callee").distinct()
     members = pairs.select("type", "member").distinct()
     size = members.groupBy("type").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_members)
     num, den = share
-    usual = pairs.groupBy("type", "callee").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(size), "type").where(F.col("n") * den >= F.col("size") * num).select("type", "callee")
+    usual = pairs.groupBy("type", "callee").agg(F.count(F.lit(1)).alias("n")).join(size, "type").where(F.col("n") * den >= F.col("size") * num).select("type", "callee")
     return members.join(usual, "type").join(pairs, ["type", "member", "callee"], "left_anti").select("type", "member", F.col("callee").alias("missing"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def concepts(ctx: DataFrame) -> DataFrame:
     base = objs.select("mask").distinct()
     full = attrs.agg(F.coalesce(F.expr("bit_or(shiftleft(1L, bit))"), F.lit(0).cast("long")).alias("mask"))
     b = base.withColumnRenamed("mask", "other")
-    closed = grow(base.union(full), lambda f: f.join(F.broadcast(b)).select((F.col("mask").bitwiseAND(F.col("other"))).alias("mask")))
+    closed = grow(base.union(full), lambda f: f.crossJoin(b).select((F.col("mask").bitwiseAND(F.col("other"))).alias("mask")))
     names = closed.join(F.broadcast(attrs), F.expr("(shiftright(mask, bit) & 1) = 1"), "left").groupBy("mask").agg(F.sort_array(F.collect_list("attribute")).alias("intent"))
     own = objs.withColumnRenamed("mask", "own")
     members = closed.join(own, F.expr("(own & mask) = mask"), "left").groupBy("mask").agg(F.sort_array(F.collect_list("object")).alias("extent"))
@@ -126,12 +128,12 @@ def idf(signatures: DataFrame, funcs: DataFrame) -> DataFrame:
 
 
 def filter_noise(signatures: DataFrame, weights: DataFrame, least: float = NOISE_IDF) -> DataFrame:
-    return signatures.join(F.broadcast(weights.where(F.col("idf") >= least).select("ref_pkg")), "ref_pkg", "left_semi").select("func", "ref_pkg")
+    return signatures.join(weights.where(F.col("idf") >= least).select("ref_pkg"), "ref_pkg", "left_semi").select("func", "ref_pkg")
 
 
 def refine_by_api(refs: DataFrame, kept: DataFrame) -> DataFrame:
     """(object, attribute) with attributes ``pkg:object`` of the kept packages."""
-    t = refs.join(F.broadcast(kept.select("ref_pkg").distinct()), "ref_pkg", "left_semi")
+    t = refs.join(kept.select("ref_pkg").distinct(), "ref_pkg", "left_semi")
     return context(t.select(F.col("func").alias("object"), F.concat_ws(":", "ref_pkg", "name").alias("attribute")))
 
 
@@ -190,14 +192,53 @@ def dominates(a: str, b: str, factors: list[str]) -> Column:
     return ge & gt
 
 
+def _skyline(x: np.ndarray) -> np.ndarray:
+    """Whether no row of ``x`` dominates each row; greater is better."""
+    order = np.argsort(-x.sum(1), kind="stable")  # a dominating row has the greater sum, so it comes first
+    with np.errstate(invalid="ignore"):
+        kept = np.zeros((0, x.shape[1]))
+        ok = np.zeros(len(x), bool)
+        for lo in range(0, len(order), 512):
+            part = x[order[lo : lo + 512]]
+            beaten = np.zeros(len(part), bool)
+            for i in range(0, len(kept), 4096):
+                k = kept[i : i + 4096]
+                beaten |= ((k[None] >= part[:, None]).all(2) & (k[None] > part[:, None]).any(2)).any(1)
+            inner = (part[None] >= part[:, None]).all(2) & (part[None] > part[:, None]).any(2)
+            good = ~beaten & ~(inner & ~beaten[None]).any(1)
+            ok[order[lo : lo + 512][good]] = True
+            kept = np.concatenate([kept, part[good]])
+    return ok
+
+
+def _local_frontier(rows: DataFrame, factors: list[str]) -> DataFrame:
+    """Rows that no row of their partition dominates."""
+
+    def run(batches):
+        best: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if best is None else [*best.to_batches(), b])
+            x = np.stack([np.array([-np.inf if v is None else float(v) for v in t[f"__{i}"].to_pylist()]) for i in range(len(factors))], 1)
+            best = t.filter(pa.array(_skyline(x)))
+        if best is not None:
+            yield from best.drop_columns([f"__{i}" for i in range(len(factors))]).to_batches()
+
+    wide = rows.select("*", *[F.col(f).cast("double").alias(f"__{i}") for i, f in enumerate(factors)])
+    return wide.mapInArrow(run, rows.schema)
+
+
 def pareto_frontier(rows: DataFrame, factors: list[str]) -> DataFrame:
-    """Rows that no row dominates."""
-    return rows.alias("r").join(rows.alias("o"), dominates("o", "r", factors), "left_anti")
+    """Rows that no row dominates, by numbers or truth values up to 2**53; NULL is the worst.
+
+    Every partition first keeps its own frontier, so only those rows are compared with each other.
+    """
+    near = checkpointed(_local_frontier(rows, factors))
+    return near.alias("r").join(near.alias("o"), dominates("o", "r", factors), "left_anti")
 
 
 def pareto_dominated(rows: DataFrame, key: str, factors: list[str]) -> DataFrame:
     """(key, dominator): each dominated row with the least frontier row that dominates it."""
-    front = pareto_frontier(rows, factors)
+    front = checkpointed(pareto_frontier(rows, factors))
     return rows.alias("r").join(front.alias("o"), dominates("o", "r", factors)).groupBy(F.col(f"r.{key}").alias(key)).agg(F.min(f"o.{key}").alias("dominator"))
 
 
@@ -238,11 +279,43 @@ def jaccard(a: str, b: str) -> Column:
 
 
 def duplicate_pairs(items: DataFrame, by: DataFrame) -> DataFrame:
-    """(a, b): pairs of items (item, ...) that share a key (item, key); each pair once."""
+    """(a, b): pairs of items (item, ...) that share a key (item, key); each pair once.
+
+    For keys that few items share; for any keys, and a bound on the similarity, see :func:`similar_sets`.
+    """
     k = by.select("item", "key").distinct()
     return k.alias("x").join(k.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
 
 
+def similar_sets(by: DataFrame, least: tuple[int, int] = (2, 5)) -> DataFrame:
+    """(a, b, similarity, same): items (item, key) whose sets of keys have a Jaccard similarity of at least the fraction ``least``.
+
+    Items with equal sets are a class: its least item stands for it, and each other one is a row with it (same).  Pairs are between
+    such items, a before b.  Exact by prefixes: keys are ordered by rarity, and two sets of given sizes that are alike enough share a
+    key among so many of their rarest that the common keys left over can't do; a key that a third of the items have is compared only
+    where the sizes leave no other.
+    """
+    p, q = least
+    k = checkpointed(by.select("item", "key").where("item IS NOT NULL AND key IS NOT NULL").distinct())
+    n = k.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sets = k.join(n, "key").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    sets = checkpointed(sets)
+    sets = checkpointed(sets.join(sets.groupBy("keys").agg(F.min("item").alias("first")), "keys"))
+    same = sets.where("item <> first").select(F.col("first").alias("a"), F.col("item").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("same"))
+    own = sets.where("item = first").select("item", "keys", F.size("keys").alias("size"))
+    sizes = own.select("size").distinct().agg(F.sort_array(F.collect_list("size")).alias("sizes"))
+    overlap = lambda m: F.ceil((F.col("size") + m) * p / (p + q))
+    # a row for each other size that a similar set may have, and each key of the prefix for it
+    other = own.crossJoin(F.broadcast(sizes)).select("item", "keys", "size", F.explode(F.filter("sizes", lambda m: (m * q >= F.col("size") * p) & (F.col("size") * q >= m * p))).alias("other"))
+    mark = other.select("item", "keys", "size", "other", F.explode(F.slice("keys", F.lit(1), (F.col("size") - overlap(F.col("other")) + 1).cast("int"))).alias("mark"))
+    x, y = mark.alias("x"), mark.alias("y")
+    met = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.size") == F.col("y.other")) & (F.col("x.other") == F.col("y.size")) & (F.col("x.item") < F.col("y.item"))
+    common = F.size(F.array_intersect("x.keys", "y.keys"))
+    whole = F.col("x.size") + F.col("y.size") - common
+    near = x.join(y, met).where(common * q >= whole * p).select(F.col("x.item").alias("a"), F.col("y.item").alias("b"), (common / whole).alias("similarity"), F.lit(False).alias("same")).distinct()
+    return same.unionByName(near)
+
+
 def tier(same: Column, similarity: Column, threshold: float = 0.6) -> Column:
     return F.when(same, "proven").when(similarity >= threshold, "structural").otherwise("divergent")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -63,10 +64,9 @@ def constant(text: Column) -> Column:
 
 
 def fold(op: Column, x: Column, y: Column) -> Column:
-    """Value of a binary operation on constants; division truncates; NULL where unknown."""
-    safe = F.when(y != 0, y)
-    quotient = (x - x % safe) / safe
-    return F.when(op == "+", x + y).when(op == "-", x - y).when(op == "*", x * y).when(op == "/", quotient.cast("long")).when(op == "%", x % safe)
+    """Value of a binary operation on 64-bit constants; division truncates; NULL where unknown or beyond 64 bits."""
+    safe = F.when((y != 0) & ~((y == -1) & (x == F.lit(-(1 << 63)))), y)
+    return F.when(op == "+", F.try_add(x, y)).when(op == "-", F.try_subtract(x, y)).when(op == "*", F.try_multiply(x, y)).when(op == "/", F.call_function("div", x, safe)).when(op == "%", F.try_mod(x, F.when(y != 0, y)))
 
 
 def normalize(op: Column, x: Column, y: Column, integer: Column) -> Column:
@@ -183,12 +183,15 @@ def condition(text: str):
 
 def solve(blocks: dict[int, list[int]], transfer, join, bottom, entry=None, start: int = 0, widening=None, patience: int = 3) -> dict[int, tuple]:
     """Worklist solution {block: (in, out)} for successor lists; ``widening`` applies after ``patience`` visits of a block."""
-    before = {b: [p for p, ss in blocks.items() if b in ss] for b in blocks}
+    before: dict = {b: [] for b in blocks}
+    for p, ss in blocks.items():
+        for b in ss:
+            before[b].append(p)
     state = {b: (bottom, bottom) for b in blocks}
     visits = dict.fromkeys(blocks, 0)
-    work = sorted(blocks)
+    work = deque(sorted(blocks))
     while work:
-        b = work.pop(0)
+        b = work.popleft()
         into = entry if b == start and entry is not None else bottom
         for p in before[b]:
             into = join(into, state[p][1])

@@ -29,9 +29,9 @@ def render(f: Column) -> Column:
 
 
 def render_category(rows: DataFrame, label: str, line: str) -> DataFrame:
-    """(label, text): ``LABEL (N)`` and the lines of each label, in order."""
-    lines = F.sort_array(F.collect_list(line))
-    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), lines.alias("lines")).select(label, F.concat(F.upper(label), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), F.array_join("lines", "\n")).alias("text"))
+    """(label, header, text): a header ``LABEL (N)`` for each label and its lines, a row each."""
+    heads = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).select(label, F.lit(True).alias("header"), F.concat(F.upper(label), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("text"))
+    return heads.unionByName(rows.select(label, F.lit(False).alias("header"), F.col(line).alias("text")))
 
 
 def first_position(instructions: DataFrame, where: Column) -> DataFrame:

@@ -12,28 +12,38 @@ from . import paths
 def balanced(calls: DataFrame) -> DataFrame:
     """(src, dst) by paths whose calls and returns match, over call sites (src, dst, id); length 0 included.
 
-    B -> empty | B B | open(i) B close(i): the fixpoint joins opened and closed sites on their id.
+    B -> empty | B B | open(i) B close(i): the fixpoint joins opened and closed sites on their id, and extends only
+    pairs that the last round added.
     """
-    up = calls.select(F.col("src").alias("a"), F.col("dst").alias("p"), "id")
-    seed = paths.nodes(calls).select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    b = checkpointed(seed)
+    up = checkpointed(calls.select(F.col("src").alias("a"), F.col("dst").alias("p"), "id").distinct())
+    x, y = up.alias("x"), up.alias("y")
+
+    def step(f: DataFrame, b: DataFrame) -> DataFrame:
+        wrapped = x.join(f.alias("b"), F.col("x.p") == F.col("b.src")).join(y, (F.col("b.dst") == F.col("y.p")) & (F.col("x.id") == F.col("y.id"))).select(F.col("x.a").alias("src"), F.col("y.a").alias("dst"))
+        after = f.alias("l").join(b.alias("r"), F.col("l.dst") == F.col("r.src")).select("l.src", "r.dst")
+        before = b.alias("l").join(f.alias("r"), F.col("l.dst") == F.col("r.src")).select("l.src", "r.dst")
+        return wrapped.union(after).union(before)
+
+    b = front = checkpointed(paths.nodes(calls).select(F.col("node").alias("src"), F.col("node").alias("dst")))
     while True:
-        x, y = up.alias("x"), up.alias("y")
-        wrapped = x.join(b.alias("b"), F.col("x.p") == F.col("b.src")).join(y, (F.col("b.dst") == F.col("y.p")) & (F.col("x.id") == F.col("y.id"))).select(F.col("x.a").alias("src"), F.col("y.a").alias("dst"))
-        chained = b.alias("l").join(b.alias("r"), F.col("l.dst") == F.col("r.src")).select("l.src", "r.dst")
-        new = checkpointed(wrapped.union(chained).distinct().join(b, ["src", "dst"], "left_anti"))
-        if new.isEmpty():
+        front = checkpointed(step(front, b.where("src <> dst") if front is not b else b.limit(0)).distinct().join(b, ["src", "dst"], "left_anti"))
+        if front.isEmpty():
             return b
-        b = checkpointed(b.union(new))
+        b = checkpointed(b.union(front))
+
 
+def valid_paths(calls: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst) by valid paths: returns that match no call, balanced parts, then calls that don't return.
 
-def valid_paths(calls: DataFrame) -> DataFrame:
-    """(src, dst) by valid paths: returns that match no call, balanced parts, then calls that don't return."""
+    With ``sources`` (node) only paths that begin there.
+    """
     b = balanced(calls)
     lift = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    returns = b.union(lift.distinct())
-    up = grow(b, lambda f: f.alias("f").join(returns.alias("r"), F.col("f.dst") == F.col("r.src")).select("f.src", "r.dst"))
-    calls_in = b.union(calls.select("src", "dst")).distinct()
+    inner = b.where("src <> dst")
+    returns = checkpointed(inner.union(lift).distinct())
+    seed = paths.nodes(calls) if sources is None else paths.nodes(calls).join(sources.select("node"), "node", "left_semi")
+    up = grow(seed.select(F.col("node").alias("src"), F.col("node").alias("dst")), lambda f: f.alias("f").join(returns.alias("r"), F.col("f.dst") == F.col("r.src")).select("f.src", "r.dst"))
+    calls_in = checkpointed(inner.union(calls.select("src", "dst")).distinct())
     return grow(up, lambda f: f.alias("f").join(calls_in.alias("c"), F.col("f.dst") == F.col("c.src")).select("f.src", "c.dst"))
 
 
@@ -43,9 +53,8 @@ def taint_flows(calls: DataFrame, sources: DataFrame, sinks: DataFrame, sanitize
     if sanitizers is not None:
         s = sanitizers.select("node")
         c = c.join(s, c.src == s.node, "left_anti").join(s, c.dst == s.node, "left_anti")
-    v = valid_paths(c)
-    a, z = sources.select(F.col("node").alias("src")), sinks.select(F.col("node").alias("dst"))
-    return v.join(a, "src", "left_semi").join(z, "dst", "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("sink"))
+    v = valid_paths(checkpointed(c), sources)
+    return v.join(sinks.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("sink"))
 
 
 TAINT_SOURCES = ("FormValue", "ReadAll", "Getenv", "Args", "PostFormValue")
@@ -99,12 +108,11 @@ def narrow(edges: DataFrame, terminals: DataFrame) -> DataFrame:
 
     A node on or before a cycle is widened, one that reaches no terminal has no-paths, others are narrow.
     """
-    e = edges.select("src", "dst").distinct()
+    e = checkpointed(edges.select("src", "dst").distinct())
     every = paths.nodes(e)
-    star = checkpointed(paths.closure(e).union(every.select("node", "node")).distinct())
-    loops = star.where("src = dst").select(F.col("src").alias("dst")).join(paths.cyclic_nodes(e).withColumnRenamed("node", "dst"), "dst", "left_semi")
-    wide = star.join(loops, "dst", "left_semi").select(F.col("src").alias("node")).distinct().withColumn("wide", F.lit(True))
-    types = star.join(terminals.select(F.col("node").alias("dst"), "type"), "dst").groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("type")).alias("types"))
+    wide = grow(paths.cyclic_nodes(e), lambda f: f.join(e, f.node == e.dst).select(F.col("src").alias("node"))).withColumn("wide", F.lit(True))
+    ends = terminals.join(every, "node", "left_semi").select("node", "type")
+    types = grow(ends, lambda f: f.join(e, f.node == e.dst).select(F.col("src").alias("node"), "type")).groupBy("node").agg(F.sort_array(F.collect_set("type")).alias("types"))
     out = every.join(wide, "node", "left").join(types, "node", "left")
     conf = F.when(F.col("wide"), "widened").when(F.col("types").isNull(), "no-paths").otherwise("narrow")
     return out.select("node", conf.alias("confidence"), F.coalesce("types", F.array().cast("array<string>")).alias("types"))
@@ -125,8 +133,9 @@ def value_flow(edges: DataFrame, stores: DataFrame, seeds: DataFrame) -> DataFra
 
 def reaching_definitions(blocks: DataFrame, defs: DataFrame) -> DataFrame:
     """(block, name) entering each block: names (block, name) defined in a block with a path to it; nothing is killed."""
-    c = paths.closure(blocks)
-    return c.join(defs.select(F.col("block").alias("src"), "name"), "src").select(F.col("dst").alias("block"), "name").distinct()
+    e = checkpointed(blocks.select("src", "dst").distinct())
+    on = lambda f: f.join(e, f.block == e.src).select(F.col("dst").alias("block"), "name")
+    return grow(on(defs.select("block", "name")), on)
 
 
 def liveness(blocks: DataFrame, uses: DataFrame, kills: DataFrame) -> DataFrame:

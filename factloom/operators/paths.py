@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +37,47 @@ def closure(edges: DataFrame) -> DataFrame:
     return grow(e, lambda f: f.alias("f").join(e.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst"))
 
 
+def _inner(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have edges in and out, trimmed until all have: no other lies on a cycle."""
+    n = edges.count()
+    while n:
+        core = edges.select(F.col("src").alias("node")).intersect(edges.select("dst"))
+        edges = checkpointed(edges.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components, named by their least node."""
-    c = closure(edges)
-    mutual = c.alias("a").join(c.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-    every = nodes(edges)
-    return every.join(mutual, "node", "left").groupBy("node").agg(F.min(F.least("node", F.coalesce("other", "node"))).alias("component"))
+    """(node, component): strongly connected components, named by their least node.
+
+    Each round trims what can't be on a cycle, gives every node the least node that reaches it, and takes from each of
+    those the nodes of its own mark that reach it back: whole components, in space linear in the graph.
+    """
+    every = checkpointed(nodes(edges.where("src IS NOT NULL AND dst IS NOT NULL")))
+    left = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
+    found = []
+    while True:
+        left = _inner(left)
+        if left.isEmpty():
+            break
+        mark = settle(nodes(left).select("node", F.col("node").alias("mark")), ["node"], "mark", lambda f, e=left: f.join(e, f.node == e.src).select(F.col("dst").alias("node"), "mark"))
+        own = checkpointed(left.join(mark.select(F.col("node").alias("src"), F.col("mark").alias("ms")), "src").join(mark.select(F.col("node").alias("dst"), F.col("mark").alias("md")), "dst").where("ms = md").select("src", "dst"))
+        part = grow(mark.where("node = mark"), lambda f, e=own: f.join(e, f.node == e.dst).select(F.col("src").alias("node"), "mark"))
+        part = checkpointed(part.select("node", F.col("mark").alias("component")))
+        found.append(part)
+        left = checkpointed(left.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    if not found:
+        return every.select("node", F.col("node").alias("component"))
+    return every.join(reduce(DataFrame.unionByName, found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(node) on a cycle; a self-loop is one."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("node"))
+    c = checkpointed(components(edges))
+    many = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return c.join(many, "component", "left_semi").select("node").union(edges.where("src = dst").select("src")).distinct()
 
 
 def tropical(edges: DataFrame, roots: DataFrame, weight: str | None = None) -> DataFrame:
@@ -74,7 +106,8 @@ def count_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
     """(node, dominator): d dominates n if every path from the root (node) to n passes d; a node dominates itself.
 
-    By removal: d dominates exactly what the root reaches but no longer reaches without d.
+    By removal: d dominates exactly what the root reaches but no longer reaches without d.  Work is nodes times edges; for many
+    graphs of a bounded size, one for each function, see :func:`.kernels.dominators`.
     """
     e = edges.select("src", "dst").distinct()
     inside = checkpointed(reachable(e, root).select("node"))

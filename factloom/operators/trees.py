@@ -1,8 +1,12 @@
-"""Structural diff and unification of trees held as leaves (tree, path, field, vtype, value)."""
+"""Structural diff and unification of trees held as rows (tree, path, field, vtype, value).
+
+A row is a leaf, a tagged node (vtype ``node``, the tag as value) or a list (vtype ``list``).  Paths are steps joined by ``/``, the
+root's path being the first step of all others; inner rows may be left out, then only leaves are compared.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS = {"type-name": 1, "derived-type": 0, "literal-value": 1, "identifier": 0, "register": 0, "operator": 2, "call-target": 3, "structural": 100, "missing-field": 50, "extra-field": 50, "extra-element": 50}
@@ -23,24 +27,69 @@ def classify(field: Column, vtype: Column) -> Column:
     )
 
 
-def tree_diff(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(a, b, path, category, left, right) of the leaves of each pair (a, b) of trees; equal leaves are ``shared``.
+AST_TYPE_FIELDS = ("type", "inferred-type", "asserted-type", "obj-pkg", "signature")
+AST_IDENTIFIER_FIELDS = ("name", "sel", "label")
+SSA_SHAPE_FIELDS = ("index", "preds", "succs", "idom", "then", "else", "target")
+
+
+def classify_ast(field: Column, path: Column, tag: Column) -> Column:
+    """Category of two differing strings in a syntax tree; a name below a type field is a type."""
+    above = F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    in_type = F.exists(above, lambda s: s.isin(*AST_TYPE_FIELDS))
+    return (
+        F.when(field.isin(*AST_TYPE_FIELDS) | (field == "name") & in_type, "type-name")
+        .when(field.isin(*AST_IDENTIFIER_FIELDS), "identifier")
+        .when(field == "value", "literal-value")
+        .when(field == "tok", "operator")
+        .otherwise("identifier")
+    )
+
+
+def classify_ssa(field: Column, path: Column, tag: Column) -> Column:
+    """Category of two differing strings in an instruction tree; names of functions and parameters identify, others are registers."""
+    return (
+        F.when(field.isin("type", "asserted-type"), "type-name")
+        .when(field == "op", "operator")
+        .when(field.isin("func", "method"), "call-target")
+        .when(field.isin(*SSA_SHAPE_FIELDS), "structural")
+        .when((field == "name") & ~F.coalesce(tag.isin("ssa-func", "ssa-param"), F.lit(False)), "register")
+        .otherwise("identifier")
+    )
+
+
+def tree_diff(pairs: DataFrame, leaves: DataFrame, strings=None) -> DataFrame:
+    """(a, b, path, category, left, right) of what each pair (a, b) of trees has at its paths; what is equal is ``shared``.
 
-    An aligned comparison: leaves meet on their path, one outer join for all pairs.  A path that only one
-    side has is a missing or extra field, or an extra element if its last step is a position.
+    An aligned comparison: rows meet on their path, one outer join for all pairs.  Nodes of one tag are shared, of two
+    structural.  A path that only one side has is a missing or extra field, or an extra element if its last step is a
+    position.  Below a structural difference, a missing or an extra one nothing more is compared.  Two different numbers or
+    truth values are literals, symbols operators, other kinds structural; two strings are told apart by ``strings``
+    (:func:`classify_ast`, :func:`classify_ssa`; by default by field and kind).  ``tag`` in ``leaves`` is the parent's.
     """
-    cols = [F.col(c) for c in ("tree", "path", "field", "vtype", "value")]
-    l = pairs.join(leaves.select(*cols), F.col("a") == F.col("tree")).select("a", "b", "path", F.struct("field", "vtype", "value").alias("l"))
-    r = pairs.join(leaves.select(*cols), F.col("b") == F.col("tree")).select("a", "b", "path", F.struct("field", "vtype", "value").alias("r"))
+    more = [F.col("tag") if "tag" in leaves.columns else F.lit(None).cast("string").alias("tag")]
+    own = leaves.select("tree", "path", F.struct("field", "vtype", "value", *more).alias("row"))
+    l = pairs.join(own, F.col("a") == F.col("tree")).select("a", "b", "path", F.col("row").alias("l"))
+    r = pairs.join(own, F.col("b") == F.col("tree")).select("a", "b", "path", F.col("row").alias("r"))
     t = l.join(r, ["a", "b", "path"], "full")
     element = F.substring_index("path", "/", -1).rlike("^[0-9]+$")
+    kind = F.col("l.vtype")
+    text = classify(F.col("l.field"), kind) if strings is None else strings(F.col("l.field"), F.col("path"), F.col("l.tag"))
     cat = (
         F.when(F.col("l").isNull() | F.col("r").isNull(), F.when(element, "extra-element").when(F.col("r").isNull(), "missing-field").otherwise("extra-field"))
-        .when(F.col("l.value").eqNullSafe(F.col("r.value")) & (F.col("l.vtype") == F.col("r.vtype")), "shared")
-        .when(F.col("l.vtype") != F.col("r.vtype"), "structural")
-        .otherwise(classify(F.col("l.field"), F.col("l.vtype")))
+        .when(~kind.eqNullSafe(F.col("r.vtype")), "structural")
+        .when(kind == "list", "list")
+        .when(F.col("l.value").eqNullSafe(F.col("r.value")), "shared")
+        .when(kind == "node", "structural")
+        .when(kind == "symbol", "operator")
+        .when(kind.isin("int", "float", "bool"), "literal-value")
+        .otherwise(text)
     )
-    return t.select("a", "b", "path", cat.alias("category"), F.col("l.value").alias("left"), F.col("r.value").alias("right"))
+    t = t.select("a", "b", "path", cat.alias("category"), F.col("l.value").alias("left"), F.col("r.value").alias("right"), F.coalesce(kind, F.col("r.vtype")).isin("node", "list").alias("inner"))
+    # the inner rows of a pair below which nothing is compared; a pair's trees bound their number
+    stop = F.when(F.col("inner") & ~F.col("category").isin("shared", "list"), F.concat("path", F.lit("/")))
+    t = t.withColumn("stops", F.collect_set(stop).over(Window.partitionBy("a", "b")))
+    below = F.exists("stops", lambda s: F.startswith(F.col("path"), s))
+    return t.where(~below & (F.col("category") != "list")).select("a", "b", "path", "category", "left", "right")
 
 
 def root_substitutions(pairs: Column) -> Column:
@@ -60,13 +109,14 @@ def collapse(diffs: DataFrame) -> DataFrame:
     """``diffs`` with type names that their pair's root substitutions derive as ``derived-type``; (left, right) in ``roots`` stay."""
     typed = diffs.where("category = 'type-name'").groupBy("a", "b").agg(F.collect_set(F.struct("left", "right")).alias("p"))
     roots = typed.select("a", "b", root_substitutions(F.col("p")).alias("roots"))
-    t = diffs.join(roots, ["a", "b"], "left")
+    t = diffs.drop("roots").join(roots, ["a", "b"], "left")
     is_root = F.exists("roots", lambda p: (p["left"] == F.col("left")) & (p["right"] == F.col("right")))
     return t.withColumn("category", F.when((F.col("category") == "type-name") & ~is_root, "derived-type").otherwise(F.col("category")))
 
 
 def score(diffs: DataFrame) -> DataFrame:
-    """(a, b, shared, diff_count, derived, similarity, effective, type_params, value_params, cost) of each pair."""
+    """(a, b, shared, diff_count, derived, similarity, effective, type_params, value_params, cost) of each pair, derived types collapsed."""
+    diffs = collapse(diffs)
     n = lambda c: F.count(F.when(c, 1))
     cat = F.col("category")
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])

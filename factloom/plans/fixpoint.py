@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rounds whose rows are kept apart before they are written together.
+PARTS = 16
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once where ``spark.checkpoint.dir`` says; a local session without it uses a folder of its own."""
@@ -28,20 +32,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+def minus(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows that ``seen`` (same columns) lacks, NULLs being equal."""
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in rows.columns]
+    return rows.alias("r").join(seen.select(*rows.columns).alias("s"), reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def grow(seed: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
     """All rows reachable from ``seed`` by ``step``, semi-naively: a round extends only the rows the last one added.
 
-    ``limit`` bounds the rounds (fuel).  Rows are compared as wholes; ends when a round adds nothing.
+    ``limit`` bounds the rounds (fuel).  Rows are compared as wholes; ends when a round adds nothing.  A round writes its new
+    rows only; what was found before is written again once in PARTS rounds.
     """
-    seen = checkpointed(seed.distinct())
-    front, rounds = seen, 0
+    front, rounds = checkpointed(seed.distinct()), 0
+    found = [front]
     while limit is None or rounds < limit:
-        front = checkpointed(step(front).select(*seen.columns).distinct().join(seen, seen.columns, "left_anti"))
+        seen = reduce(DataFrame.unionByName, found)
+        front = checkpointed(minus(step(front).select(*seen.columns).distinct(), seen))
         if front.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(front))
+        found.append(front)
+        if len(found) > PARTS:
+            found = [checkpointed(reduce(DataFrame.unionByName, found))]
         rounds += 1
-    return seen
+    return reduce(DataFrame.unionByName, found)
 
 
 def settle(state: DataFrame, keys: list[str], value: str, step: Callable[[DataFrame], DataFrame], best: Callable = F.min) -> DataFrame:

@@ -12,9 +12,10 @@ from ..operators import concepts as C
 from ..operators import domains as D
 from ..operators import findings as N
 from ..operators import flows as W
+from ..operators import kernels as K
 from ..operators import paths as P
 from ..operators import trees as T
-from .bindings import ACCESS, BRANDS, CONCEPTS, SEGMENTS, SEQUENCES, SITES, TRADE, VERDICT, Tables, access, brands, dag, order_sites, segments, sequences, trade
+from .bindings import ACCESS, BLOCKS, CONCEPTS, FLOWS, GRAPH, REFERENCES, SEGMENTS, SEQUENCES, SITES, VERDICT, Tables, access, blocks, circuit, control, flows, hierarchy, order_sites, references, segments, sequences
 from .fixpoint import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +38,10 @@ def users(t: Tables) -> DataFrame:
     return sequences(t).select("func").distinct()
 
 
+def _id(kind: str, column: str):
+    return F.concat(F.lit(kind), F.col(column).cast("string"))
+
+
 def joined(c: str, alias: str | None = None):
     return F.array_join(c, ",").alias(alias or c)
 
@@ -89,13 +94,13 @@ def _registry(t: Tables) -> B.Beliefs:
 
 @query(f"WITH {_BY_PRIORITY} SELECT * FROM m")
 def belief_run(t):
-    return _registry(t).run().drop("message")
+    return _registry(t).run().drop("message", "source")
 
 
 @query(f"WITH {_BY_PRIORITY} SELECT * FROM m WHERE name NOT IN ('2-HIGH', '5-LOW')")
 def belief_suppress_known(t):
-    known = t.spark.createDataFrame([("2-HIGH",), ("5-LOW",)], "name string")
-    return B.suppress_known(_registry(t).run().drop("message"), known, "name")
+    known = t.spark.createDataFrame([("status of 2-HIGH",), ("status of 5-LOW",)], "source string")
+    return B.suppress_known(_registry(t).run().drop("message"), known).drop("source")
 
 
 _U = f"WITH {SEQUENCES}, u AS (SELECT DISTINCT func FROM t)"
@@ -121,64 +126,59 @@ def belief_single_call(t):
     return B.single_call_site(users(t), sequences(t), "click")
 
 
-@query(f"WITH {ACCESS} SELECT DISTINCT s_suppkey AS site, CASE n WHEN 2 THEN 'co-mutated' WHEN 1 THEN 'partial' ELSE 'missing' END AS category FROM supplier LEFT JOIN (SELECT func, count(DISTINCT field) AS n FROM a WHERE mode = 'write' AND field IN ('N', 'R') GROUP BY func) ON func = s_suppkey")
+@query(f"WITH {ACCESS} SELECT o_orderkey AS site, CASE n WHEN 2 THEN 'co-mutated' WHEN 1 THEN 'partial' ELSE 'missing' END AS category FROM orders LEFT JOIN (SELECT func, count(DISTINCT field) AS n FROM a WHERE mode = 'write' AND field IN ('N', 'R') GROUP BY func) ON func = o_orderkey")
 def belief_co_mutated(t):
-    return B.co_mutated(t.supplier.select(F.col("s_suppkey").alias("func")), access(t), "N", "R")
+    return B.co_mutated(t.orders.select(F.col("o_orderkey").alias("func")), access(t), "N", "R")
 
 
-@query(f"WITH {ACCESS}, p AS (SELECT min(struct) AS s FROM a) SELECT func FROM a, p WHERE mode = 'write' AND struct = s AND field IN ('N', 'A') GROUP BY func HAVING count(DISTINCT field) = 2")
+@query(f"WITH {ACCESS} SELECT func FROM a WHERE mode = 'write' AND struct = 'PROMO' AND field IN ('N', 'A') GROUP BY func HAVING count(DISTINCT field) = 2")
 def stores_to_fields(t):
-    a = access(t)
-    first = a.agg(F.min("struct").alias("s"))
-    own = a.join(F.broadcast(first), F.col("struct") == F.col("s")).withColumn("struct", F.lit("S"))
-    return B.stores_to_fields(own, "S", "N", "A")
+    return B.stores_to_fields(access(t), "PROMO", "N", "A")
 
 
 @query(
-    f"""WITH {ACCESS}, g AS (SELECT func, count(*) FILTER (mode = 'write') AS w, count(DISTINCT field) - 1 AS p, count(*) FILTER (mode = 'read') AS r, bool_or(field = 'R') AS i, bool_or(field = 'A') AS f FROM a GROUP BY func)
-SELECT func AS site, CASE WHEN w > 4 THEN 'mutation' WHEN p = 0 THEN 'accessor' WHEN r = 0 THEN 'unused-recv' WHEN r > 2 THEN 'multi-read' WHEN i THEN 'interface-method' WHEN f THEN 'forwarder' ELSE 'candidate' END AS category FROM g"""
+    f"""WITH {ACCESS}, fs AS (SELECT o_orderkey AS func, CASE o_orderpriority WHEN '1-URGENT' THEN 'PROMO' WHEN '2-HIGH' THEN 'SMALL' WHEN '3-MEDIUM' THEN 'LARGE' WHEN '5-LOW' THEN 'MEDIUM' END AS recv, o_orderstatus AS method FROM orders),
+g AS (SELECT fs.func, count(DISTINCT field) FILTER (mode = 'write') AS w, count(DISTINCT field) FILTER (mode = 'read') AS r FROM fs JOIN a ON a.func = fs.func AND a.struct = fs.recv GROUP BY fs.func),
+p AS (SELECT l_orderkey AS func, count(*) AS n FROM lineitem GROUP BY 1), im AS (SELECT DISTINCT p_type AS type, CASE WHEN p_size > 49 THEN 'P' ELSE '-' END AS method FROM part), fw AS (SELECT l_orderkey AS func FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1)
+SELECT fs.func AS site, CASE WHEN recv IS NULL THEN 'no-receiver' WHEN coalesce(w, 0) > 0 THEN 'mutation' WHEN coalesce(n, 0) = 0 THEN 'accessor' WHEN coalesce(r, 0) = 0 THEN 'unused-recv' WHEN r > 1 THEN 'multi-read'
+WHEN EXISTS (SELECT 1 FROM im WHERE im.type = fs.recv AND im.method = fs.method) THEN 'interface-method' WHEN fs.func IN (SELECT func FROM fw) THEN 'forwarder' ELSE 'candidate' END AS category FROM fs LEFT JOIN g USING (func) LEFT JOIN p USING (func)"""
 )
 def receiver_asymmetry(t):
-    n = lambda m: F.count(F.when(F.col("mode") == m, 1))
-    g = access(t).groupBy("func").agg(n("write").alias("w"), n("read").alias("r"), F.countDistinct("field").alias("p"), F.max(F.col("field") == "R").alias("in_interface"), F.max(F.col("field") == "A").alias("forwards"))
-    facts = g.select("func", F.lit(True).alias("found"), F.lit(True).alias("is_method"), F.greatest(F.col("w") - 4, F.lit(0)).alias("recv_writes"), (F.col("p") - 1).alias("n_params"), F.when(F.col("r") == 0, 0).when(F.col("r") > 2, 2).otherwise(1).alias("recv_reads"), "in_interface", "forwards")
-    return B.receiver_asymmetry(facts)
-
-
-_CALLS = "c AS (SELECT DISTINCT s_nationkey AS type, l_suppkey AS member, p_brand AS callee FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49)"
+    """Orders as methods of the part type that their priority stands for; lines are parameters, one supplier for all makes a forwarder."""
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "*PROMO").when(F.col("o_orderpriority") == "2-HIGH", "SMALL").when(F.col("o_orderpriority") == "3-MEDIUM", "*LARGE").when(F.col("o_orderpriority") == "5-LOW", "MEDIUM")
+    funcs = t.orders.select(F.col("o_orderkey").alias("func"), kind.alias("recv_type"), F.col("o_orderstatus").alias("short_name"))
+    params = t.lineitem.select(F.col("l_orderkey").alias("func"))
+    interfaces = t.part.select(F.col("p_type").alias("type"), F.when(F.col("p_size") > 49, "P").otherwise("-").alias("method"))
+    forwards = t.lineitem.groupBy(F.col("l_orderkey").alias("func")).agg(F.countDistinct("l_suppkey").alias("n")).where("n = 1")
+    return B.receiver_asymmetry(B.receiver_facts(funcs, access(t), params, interfaces, forwards))
 
 
 @query(
-    f"""WITH {_CALLS}, z AS (SELECT type, count(DISTINCT member) AS size FROM c GROUP BY type HAVING count(DISTINCT member) >= 5),
+    """WITH c AS (SELECT DISTINCT c_nationkey AS type, c_custkey AS member, o_orderpriority AS callee FROM orders JOIN customer ON o_custkey = c_custkey),
+z AS (SELECT type, count(DISTINCT member) AS size FROM c GROUP BY type HAVING count(DISTINCT member) >= 5),
 u AS (SELECT type, callee FROM c JOIN z USING (type) GROUP BY type, callee, size HAVING count(DISTINCT member) * 5 >= size * 3)
 SELECT m.type, m.member, u.callee AS missing FROM (SELECT DISTINCT type, member FROM c) m JOIN u USING (type) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.type = m.type AND c.member = m.member AND c.callee = u.callee)"""
 )
 def convention_mining(t):
-    line = t.lineitem.where("l_quantity >= 49").select("l_suppkey", "l_partkey")
-    c = line.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return B.conventions(c.select(F.col("s_nationkey").alias("type"), F.col("l_suppkey").alias("member"), F.col("p_brand").alias("callee")))
+    c = t.orders.select("o_custkey", "o_orderpriority").join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return B.conventions(c.select(F.col("c_nationkey").alias("type"), F.col("c_custkey").alias("member"), F.col("o_orderpriority").alias("callee")))
 
 
-_REACH = f"WITH RECURSIVE {TRADE}, cl AS (SELECT src, dst FROM e UNION SELECT cl.src, e.dst FROM cl JOIN e ON cl.dst = e.src), dcl AS (SELECT src, dst FROM d UNION SELECT dcl.src, d.dst FROM dcl JOIN d ON dcl.dst = d.src)"
+_G = f"WITH RECURSIVE {GRAPH}"
 
 
-@query(f"{_REACH} SELECT CAST(n_nationkey AS BIGINT) AS site, CASE WHEN EXISTS (SELECT 1 FROM dcl WHERE src = n_nationkey AND dst >= 20) THEN 'reaches' WHEN EXISTS (SELECT 1 FROM d WHERE n_nationkey IN (src, dst)) THEN 'unreached' ELSE 'unresolved' END AS category FROM nation")
+@query(f"{_G}, up AS (SELECT DISTINCT src AS node FROM d JOIN part ON dst = 'P' || p_partkey WHERE p_size = 50 UNION SELECT d.src FROM up JOIN d ON d.dst = up.node) SELECT 'C' || c_custkey AS site, CASE WHEN 'C' || c_custkey IN (SELECT node FROM up) THEN 'reaches' WHEN 'C' || c_custkey IN (SELECT node FROM n) THEN 'unreached' ELSE 'unresolved' END AS category FROM customer")
 def belief_reaches_call(t):
-    sites = t.nation.select(F.col("n_nationkey").cast("long").alias("func"))
-    d = checkpointed(dag(t))
-    return B.reaches_call(sites, d, P.nodes(d).where("node >= 20"))
+    """Whether a customer's orders come to a part of the greatest size."""
+    sites = t.customer.select(_id("C", "c_custkey").alias("func"))
+    return B.reaches_call(sites, checkpointed(hierarchy(t)), t.part.where("p_size = 50").select(_id("P", "p_partkey").alias("node")))
 
 
-@query(
-    f"""{_REACH}, st AS (SELECT CAST(n_nationkey AS BIGINT) AS site, CAST(n_nationkey AS BIGINT) AS node, 0 AS k FROM nation UNION SELECT st.site, d.dst, k + 1 FROM st JOIN d ON st.node = d.src WHERE k < 1)
-SELECT site, CASE WHEN bool_or(node >= 18) THEN 'guarded' ELSE 'unguarded' END AS category FROM st GROUP BY site"""
-)
+@query("SELECT 'O' || o_orderkey AS site, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 10) THEN 'guarded' ELSE 'unguarded' END AS category FROM orders")
 def belief_checked_before_use(t):
-    d = checkpointed(dag(t))
-    k = F.col("n_nationkey").cast("long")
-    seeds = t.nation.select(k.alias("site"), k.alias("node"))
-    guards = t.nation.select(k.alias("node")).where("node >= 18")
-    return B.checked_before_use(seeds, d, guards, fuel=2)
+    """Whether an order leads to a small part in a step."""
+    k = _id("O", "o_orderkey")
+    return B.checked_before_use(t.orders.select(k.alias("site"), k.alias("node")), hierarchy(t), t.part.where("p_size <= 10").select(_id("P", "p_partkey").alias("node")), fuel=2)
 
 
 # formal concepts
@@ -191,16 +191,19 @@ def fca_context(t):
     return C.context(segments(t))
 
 
-@query(f"WITH {SEGMENTS}, o AS (SELECT DISTINCT object FROM k ORDER BY object LIMIT 2) SELECT attribute FROM k JOIN o USING (object) GROUP BY attribute HAVING count(*) = (SELECT count(*) FROM o)")
+@query(f"WITH {SEGMENTS}, o AS (SELECT DISTINCT object FROM k JOIN nation ON object = n_name WHERE n_regionkey = 2) SELECT attribute FROM k JOIN o USING (object) GROUP BY attribute HAVING count(*) = (SELECT count(*) FROM o)")
 def fca_intent(t):
+    """What the nations of a region have in common."""
     k = checkpointed(C.context(segments(t)))
-    return C.intent(k, k.select("object").distinct().orderBy("object").limit(2))
+    own = t.nation.where("n_regionkey = 2").select(F.col("n_name").alias("object"))
+    return C.intent(k, k.select("object").distinct().join(own, "object", "left_semi"))
 
 
-@query(f"WITH {SEGMENTS}, o AS (SELECT DISTINCT attribute FROM k ORDER BY attribute LIMIT 2) SELECT object FROM k JOIN o USING (attribute) GROUP BY object HAVING count(*) = (SELECT count(*) FROM o)")
+@query(f"WITH {SEGMENTS}, o AS (SELECT DISTINCT attribute FROM k WHERE attribute IN ('AUTO.AUTOMOBILE', 'BUIL.BUILDING')) SELECT object FROM k JOIN o USING (attribute) GROUP BY object HAVING count(*) = 2")
 def fca_extent(t):
+    """Nations that are strong in two given segments."""
     k = checkpointed(C.context(segments(t)))
-    return C.extent(k, k.select("attribute").distinct().orderBy("attribute").limit(2))
+    return C.extent(k, t.spark.createDataFrame([("AUTO.AUTOMOBILE",), ("BUIL.BUILDING",)], "attribute string"))
 
 
 def _lattice(t: Tables) -> DataFrame:
@@ -215,7 +218,7 @@ def fca_concepts(t):
 @query(f"{_K} SELECT array_to_string(x.intent, ',') AS a, array_to_string(y.intent, ',') AS b, CASE WHEN x.mask = y.mask THEN 'equal' WHEN x.mask & y.mask = y.mask THEN 'subconcept' WHEN x.mask & y.mask = x.mask THEN 'superconcept' ELSE 'incomparable' END AS relationship FROM c x, c y")
 def fca_relationship(t):
     c = _lattice(t).select("intent")
-    return c.select(F.col("intent").alias("ia")).crossJoin(F.broadcast(c.select(F.col("intent").alias("ib")))).select(joined("ia", "a"), joined("ib", "b"), C.relationship("ia", "ib").alias("relationship"))
+    return c.select(F.col("intent").alias("ia")).crossJoin(c.select(F.col("intent").alias("ib"))).select(joined("ia", "a"), joined("ib", "b"), C.relationship("ia", "ib").alias("relationship"))
 
 
 _CROSS = "x AS (SELECT *, list_sort(list_distinct(list_transform(intent, lambda a: split_part(a, '.', 1)))) AS types FROM c WHERE n_objs >= 2 AND n_attrs >= 2), y AS (SELECT * FROM x WHERE len(types) >= 2)"
@@ -240,29 +243,30 @@ def fca_field_context(t):
 
 
 @query(
-    f"""{_REACH}, w AS (SELECT CAST(s_nationkey AS BIGINT) AS func, min(s_name) AS attribute FROM supplier GROUP BY 1)
-SELECT func, attribute FROM w UNION SELECT dcl.src, attribute FROM dcl JOIN w ON dcl.dst = w.func"""
+    f"""{_G}, {ACCESS}, w AS (SELECT DISTINCT 'O' || func AS func, struct || '.' || field AS attribute FROM a WHERE mode = 'write'),
+pw AS (SELECT func, attribute FROM w UNION SELECT d.src, attribute FROM pw JOIN d ON d.dst = pw.func) SELECT func, attribute FROM pw"""
 )
 def propagate_writes(t):
-    own = t.supplier.groupBy(F.col("s_nationkey").cast("long").alias("func")).agg(F.min("s_name").alias("attribute"))
-    return C.propagate_writes(own, checkpointed(dag(t)))
+    """All fields that orders write, and so their customers, nations and regions."""
+    own = access(t).where("mode = 'write'").select(F.concat(F.lit("O"), F.col("func").cast("string")).alias("func"), F.concat_ws(".", "struct", "field").alias("attribute"))
+    return C.propagate_writes(own, checkpointed(hierarchy(t)))
 
 
 # splits
 
 
-@query(f"WITH {BRANDS} SELECT DISTINCT func, ref_pkg FROM r")
+@query(f"WITH {REFERENCES} SELECT DISTINCT func, ref_pkg FROM r")
 def import_signatures(t):
-    return C.import_signatures(brands(t))
+    return C.import_signatures(references(t))
 
 
-_IDF = f"WITH {BRANDS}, sg AS (SELECT DISTINCT func, ref_pkg FROM r), w AS (SELECT ref_pkg, count(*) AS df, ln(CAST((SELECT count(*) FROM supplier) AS DOUBLE) / count(*)) AS idf FROM sg GROUP BY ref_pkg)"
+_IDF = f"WITH {REFERENCES}, sg AS (SELECT DISTINCT func, ref_pkg FROM r), w AS (SELECT ref_pkg, count(*) AS df, ln(CAST((SELECT count(*) FROM orders) AS DOUBLE) / count(*)) AS idf FROM sg GROUP BY ref_pkg)"
 
 
 def _idf(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    r = brands(t)
+    r = references(t)
     sg = C.import_signatures(r)
-    return r, sg, C.idf(sg, t.supplier.select(F.col("s_suppkey").alias("func")))
+    return r, sg, C.idf(sg, t.orders.select(F.col("o_orderkey").alias("func")))
 
 
 @query(f"{_IDF} SELECT ref_pkg, df, round(idf, 6) AS idf FROM w")
@@ -270,16 +274,16 @@ def idf(t):
     return _idf(t)[2].withColumn("idf", F.round("idf", 6))
 
 
-@query(f"{_IDF} SELECT func, ref_pkg FROM sg JOIN w USING (ref_pkg) WHERE idf >= 2.0")
+@query(f"{_IDF} SELECT func, ref_pkg FROM sg JOIN w USING (ref_pkg) WHERE idf >= 1.9")
 def filter_noise(t):
     _, sg, w = _idf(t)
-    return C.filter_noise(sg, w, 2.0)
+    return C.filter_noise(sg, w, 1.9)
 
 
-@query(f"{_IDF} SELECT DISTINCT func AS object, ref_pkg || ':' || name AS attribute FROM r JOIN w USING (ref_pkg) WHERE idf >= 2.0")
+@query(f"{_IDF} SELECT DISTINCT func AS object, ref_pkg || ':' || name AS attribute FROM r JOIN w USING (ref_pkg) WHERE idf >= 1.9")
 def refine_api(t):
     r, _, w = _idf(t)
-    return C.refine_by_api(r, w.where("idf >= 2.0"))
+    return C.refine_by_api(r, w.where("idf >= 1.9"))
 
 
 _SPLIT = """b2 AS (SELECT * FROM c WHERE n_objs > 1), pr AS (SELECT x.intent AS ia, y.intent AS ib, x.extent AS ea, y.extent AS eb, x.mask AS ma, y.mask AS mb FROM b2 x, b2 y
@@ -365,167 +369,205 @@ def extract_candidates(t):
 # graphs
 
 
-def _root(t: Tables, k: int = 0) -> DataFrame:
-    return t.nation.where(F.col("n_nationkey") == k).select(F.col("n_nationkey").cast("long").alias("node"))
+def _regions(t: Tables) -> DataFrame:
+    return t.region.select(_id("R", "r_regionkey").alias("node"))
 
 
-@query(f"{_REACH} SELECT node AS root, node FROM n UNION SELECT src, dst FROM cl")
+@query(f"{_G}, cl AS (SELECT 'R' || r_regionkey AS root, 'R' || r_regionkey AS node FROM region UNION SELECT cl.root, e.dst FROM cl JOIN e ON cl.node = e.src) SELECT root, node FROM cl WHERE root IN (SELECT node FROM n)")
 def reachable(t):
-    e = checkpointed(trade(t))
-    return P.reachable(e, P.nodes(e))
+    """What each region reaches in the cyclic graph."""
+    return P.reachable(checkpointed(circuit(t)), _regions(t))
 
 
-@query(f"{_REACH} SELECT CAST(3 AS BIGINT) AS root, node FROM n WHERE node = 3 UNION SELECT dst, src FROM cl WHERE dst = 3")
+@query(f"{_G}, up AS (SELECT 'S' || s_suppkey AS root, 'S' || s_suppkey AS node FROM supplier WHERE s_acctbal < 0 UNION SELECT root, d.src FROM up JOIN d ON d.dst = up.node WHERE d.src NOT LIKE 'C%') SELECT root, node FROM up WHERE root IN (SELECT dst FROM d)")
 def reaching(t):
-    return P.reaching(checkpointed(trade(t)), _root(t, 3))
+    """The parts and orders on whose way a supplier in debt lies."""
+    d = hierarchy(t).where("src NOT LIKE 'C%' AND src NOT LIKE 'N%' AND src NOT LIKE 'R%'")
+    return P.reaching(checkpointed(d), t.supplier.where("s_acctbal < 0").select(_id("S", "s_suppkey").alias("node")))
 
 
-@query(f"{_REACH} SELECT node FROM n WHERE node = 0 UNION SELECT dst FROM dcl WHERE src = 0")
+@query(f"{_G}, cl AS (SELECT 'N3' AS node UNION SELECT d.dst FROM cl JOIN d ON cl.node = d.src) SELECT node FROM cl")
 def list_deps(t):
-    return P.reachable(checkpointed(dag(t)), _root(t)).select("node").orderBy("node")
+    """All that one nation leads to."""
+    one = t.nation.where("n_nationkey = 3").select(_id("N", "n_nationkey").alias("node"))
+    return P.reachable(checkpointed(hierarchy(t)), one).select("node").orderBy("node")
 
 
-@query(f"{_REACH} SELECT node, least(node, coalesce((SELECT min(a.dst) FROM cl a JOIN cl b ON a.dst = b.src AND b.dst = a.src WHERE a.src = node), node)) AS component FROM n")
+# the cycles are those through nations: what a nation reaches and what reaches it back
+_SCC = f"""{_G}, dn AS (SELECT 'N' || n_nationkey AS root, 'N' || n_nationkey AS node FROM nation UNION SELECT dn.root, e.dst FROM dn JOIN e ON dn.node = e.src),
+up AS (SELECT 'N' || n_nationkey AS root, 'N' || n_nationkey AS node FROM nation UNION SELECT up.root, e.src FROM up JOIN e ON up.node = e.dst),
+mu AS MATERIALIZED (SELECT root, node FROM dn JOIN up USING (root, node)), lo AS (SELECT root, min(node) AS component, count(*) AS size FROM mu GROUP BY root),
+sc AS MATERIALIZED (SELECT node, min(component) AS component, max(size) AS size FROM mu JOIN lo USING (root) GROUP BY node)"""
+
+
+@query(f"{_SCC} SELECT node, coalesce(component, node) AS component FROM n LEFT JOIN sc USING (node)")
 def sccs(t):
-    return P.components(checkpointed(trade(t)))
+    return P.components(checkpointed(circuit(t)))
 
 
-@query(f"{_REACH} SELECT src AS node FROM cl WHERE src = dst")
+@query(f"{_SCC} SELECT node FROM sc WHERE size > 1")
 def cyclic_nodes(t):
-    return P.cyclic_nodes(checkpointed(trade(t)))
+    return P.cyclic_nodes(checkpointed(circuit(t)))
 
 
-@query(f"{_REACH}, tr AS (SELECT node AS root, node, CAST(0 AS BIGINT) AS distance FROM n UNION SELECT root, e.dst, distance + 1 FROM tr JOIN e ON tr.node = e.src WHERE distance < 25) SELECT root, node, min(distance) AS distance FROM tr GROUP BY root, node")
+@query(f"{_G}, tr AS (SELECT 'R' || r_regionkey AS root, 'R' || r_regionkey AS node, CAST(0 AS BIGINT) AS distance FROM region UNION SELECT root, e.dst, distance + 1 FROM tr JOIN e ON tr.node = e.src WHERE distance < 12) SELECT root, node, min(distance) AS distance FROM tr WHERE root IN (SELECT node FROM n) GROUP BY root, node")
 def tropical_paths(t):
-    e = checkpointed(trade(t))
-    return P.tropical(e, P.nodes(e))
+    """Steps from each region, suppliers leading on to their nations."""
+    return P.tropical(checkpointed(circuit(t)), _regions(t))
 
 
-@query(f"{_REACH}, pt AS (SELECT src AS root, src AS node, [src] AS p FROM d UNION SELECT root, d.dst, list_append(p, d.dst) FROM pt JOIN d ON pt.node = d.src) SELECT root, node, count(*) AS paths FROM pt GROUP BY root, node UNION SELECT node, node, 1 FROM n WHERE node IN (SELECT dst FROM d) AND node NOT IN (SELECT src FROM d)")
+@query(f"{_G}, pt AS (SELECT 'R' || r_regionkey AS root, 'R' || r_regionkey AS node FROM region UNION ALL SELECT root, d.dst FROM pt JOIN d ON pt.node = d.src) SELECT root, node, count(*) AS paths FROM pt WHERE root IN (SELECT src FROM d) GROUP BY root, node")
 def count_paths(t):
-    d = checkpointed(dag(t))
-    return P.count_paths(d, P.nodes(d)).withColumn("paths", F.col("paths").cast("long"))
+    """In how many ways each region comes to an order, a part, a supplier."""
+    return P.count_paths(checkpointed(hierarchy(t)), _regions(t)).withColumn("paths", F.col("paths").cast("long"))
 
 
-_DOM = f"""{_REACH}, rt AS (SELECT min(src) AS root FROM d), ins AS (SELECT root AS node FROM rt UNION SELECT d.dst FROM ins JOIN d ON ins.node = d.src),
-fr AS (SELECT i.node AS dominator, root AS node FROM ins i, rt WHERE i.node <> root UNION SELECT dominator, d.dst FROM fr JOIN d ON fr.node = d.src WHERE d.dst <> dominator),
-dm AS (SELECT i.node, j.node AS dominator FROM ins i, ins j WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.node = i.node AND fr.dominator = j.node))"""
+_B = f"WITH RECURSIVE {BLOCKS}"
 
 
-def _dominators(t: Tables) -> tuple[DataFrame, DataFrame]:
-    d = checkpointed(dag(t))
-    return d, checkpointed(P.dominators(d, d.agg(F.min("src").alias("node"))))
+def _dominance(t: Tables) -> tuple[DataFrame, DataFrame]:
+    b = blocks(t)
+    entry = b.where("k = 1").select("func", F.col("block").alias("node"))
+    return control(b), entry
 
 
-@query(f"{_DOM} SELECT node, dominator FROM dm")
+@query(f"{_B} SELECT func, node, dominator FROM dm")
 def cfg_dominators(t):
-    return _dominators(t)[1]
+    """Every customer's orders as a function's blocks."""
+    return K.dominators(*_dominance(t))
 
 
-@query(f"{_DOM}, dp AS (SELECT node, count(*) AS depth FROM dm GROUP BY node) SELECT dm.node, arg_max(dm.dominator, dp.depth) AS idom FROM dm JOIN dp ON dp.node = dm.dominator WHERE dm.node <> dm.dominator GROUP BY dm.node")
+@query(f"{_B}, dp AS (SELECT func, node, count(*) AS depth FROM dm GROUP BY func, node) SELECT dm.func, dm.node, arg_max(dm.dominator, dp.depth) AS idom FROM dm JOIN dp ON dp.func = dm.func AND dp.node = dm.dominator WHERE dm.node <> dm.dominator GROUP BY dm.func, dm.node")
 def cfg_idom(t):
-    return P.immediate_dominators(_dominators(t)[1])
+    return K.idoms(*_dominance(t))
 
 
-@query(f"{_DOM}, bb AS (SELECT node FROM ins WHERE node % 2 = 1), ok AS (SELECT DISTINCT bb.node FROM bb JOIN dm USING (node) WHERE dominator % 3 = 0) SELECT 'f' AS site, CASE WHEN (SELECT count(*) FROM bb) = 0 OR NOT EXISTS (SELECT 1 FROM ins WHERE node % 3 = 0) THEN 'missing' WHEN (SELECT count(*) FROM ok) = (SELECT count(*) FROM bb) THEN 'dominates-all' WHEN (SELECT count(*) FROM ok) > 0 THEN 'partial' ELSE 'none' END AS category")
+@query(
+    f"""{_B}, aa AS (SELECT func, block FROM bl WHERE priority = '2-HIGH'), bb AS (SELECT func, block FROM bl WHERE priority = '5-LOW'),
+ok AS (SELECT bb.func, count(*) AS nb, count(*) FILTER (EXISTS (SELECT 1 FROM dm JOIN aa ON aa.func = dm.func AND aa.block = dm.dominator WHERE dm.func = bb.func AND dm.node = bb.block)) AS good FROM bb GROUP BY bb.func)
+SELECT c_custkey AS site, CASE WHEN nb IS NULL OR c_custkey NOT IN (SELECT func FROM aa) THEN 'missing' WHEN good = nb THEN 'dominates-all' WHEN good > 0 THEN 'partial' ELSE 'none' END AS category FROM customer LEFT JOIN ok ON ok.func = c_custkey"""
+)
 def dominates_call(t):
-    dom = _dominators(t)[1].withColumn("func", F.lit("f"))
-    node = dom.select("func", F.col("node").alias("block")).distinct()
-    ops = node.where("block % 3 = 0").withColumn("op", F.lit("a")).union(node.where("block % 2 = 1").withColumn("op", F.lit("b")))
-    return B.dominates_call(t.spark.createDataFrame([("f",)], "func string"), ops, dom, "a", "b")
+    """Whether a customer's orders of low priority come after one of high priority on all ways."""
+    ops = blocks(t).where("priority IN ('2-HIGH', '5-LOW')").select("func", "block", F.col("priority").alias("op"))
+    return B.dominates_call(t.customer.select(F.col("c_custkey").alias("func")), ops, K.dominators(*_dominance(t)), "2-HIGH", "5-LOW")
 
 
-@query(f"{_REACH}, pt AS (SELECT [src] AS p FROM d WHERE src = (SELECT min(src) FROM d) UNION SELECT list_append(p, d.dst) FROM pt JOIN d ON p[-1] = d.src) SELECT array_to_string(p, '>') AS path FROM pt WHERE p[-1] = (SELECT max(dst) FROM dcl WHERE src = (SELECT min(src) FROM d))")
+@query(f"{_G}, pt AS (SELECT ['N3'] AS p UNION ALL SELECT list_append(p, d.dst) FROM pt JOIN d ON p[-1] = d.src) SELECT array_to_string(p, '>') AS path FROM pt WHERE p[-1] = 'S1'")
 def cfg_paths(t):
-    d = checkpointed(dag(t))
-    a = d.agg(F.min("src")).first()[0]
-    z = P.reachable(d, d.where(F.col("src") == a).select(F.col("src").alias("node")).distinct()).agg(F.max("node")).first()[0]
-    return P.simple_paths(d, a, z, 25).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    """All ways from a nation to a supplier."""
+    return P.simple_paths(checkpointed(hierarchy(t)), "N3", "S1", 10).select(F.array_join("path", ">").alias("path"))
 
 
-@query(f"WITH {TRADE} SELECT src, dst FROM e WHERE dst = 3")
+@query(f"WITH {GRAPH} SELECT src, dst FROM e WHERE dst = 'P7'")
 def callers(t):
-    return P.callers(trade(t), 3)
+    return P.callers(circuit(t), "P7")
 
 
-@query(f"WITH {TRADE} SELECT src, dst FROM e WHERE src = 3")
+@query(f"WITH {GRAPH} SELECT src, dst FROM e WHERE src = 'P7'")
 def callees(t):
-    return P.callees(trade(t), 3)
+    return P.callees(circuit(t), "P7")
 
 
 # dataflow
 
 
-@query(f"{_REACH}, st AS (SELECT node AS root, node, 0 AS k FROM n UNION SELECT root, d.dst, k + 1 FROM st JOIN d ON st.node = d.src WHERE k < 3) SELECT DISTINCT root, node FROM st")
+@query(f"{_G}, st AS (SELECT 'C' || c_custkey AS root, 'C' || c_custkey AS node, 0 AS k FROM customer UNION SELECT root, d.dst, k + 1 FROM st JOIN d ON st.node = d.src WHERE k < 2) SELECT DISTINCT root, node FROM st")
 def defuse_reach_fuel(t):
-    e = checkpointed(trade(t))
-    return W.defuse_reachable(e.where("src < dst"), P.nodes(e), 3)
+    """Orders and parts within two steps of every customer."""
+    return W.defuse_reachable(hierarchy(t), t.customer.select(_id("C", "c_custkey").alias("node")), 2)
 
 
-@query(f"{_REACH}, b AS (SELECT src, dst FROM d UNION SELECT dst, src FROM e WHERE src > dst + 10), st AS (SELECT src AS root, src AS node FROM b UNION SELECT dst, dst FROM b UNION SELECT root, b.dst FROM st JOIN b ON st.node = b.src) SELECT root, node FROM st")
+@query(f"{_G}, b AS MATERIALIZED (SELECT src, dst FROM d WHERE src[1] IN ('N', 'C', 'O') UNION SELECT src, dst FROM d WHERE src[1] = 'P'), st AS (SELECT 'N' || n_nationkey AS root, 'N' || n_nationkey AS node FROM nation UNION SELECT root, b.dst FROM st JOIN b ON st.node = b.src) SELECT root, node FROM st WHERE root IN (SELECT src FROM b)")
 def value_flow(t):
-    e = checkpointed(trade(t))
-    d, stores = e.where("src < dst"), e.where("src > dst + 10").select(F.col("dst").alias("value"), F.col("src").alias("aggregate"))
-    return W.value_flow(d, stores, P.nodes(d.union(stores)))
+    """What comes from each nation's customers, parts being stored with their suppliers."""
+    d = checkpointed(hierarchy(t))
+    kind = F.substring("src", 1, 1)
+    stores = d.where(kind == "P").select(F.col("src").alias("value"), F.col("dst").alias("aggregate"))
+    return W.value_flow(d.where(kind.isin("N", "C", "O")), stores, t.nation.select(_id("N", "n_nationkey").alias("node")))
 
 
-@query(f"{_REACH} SELECT DISTINCT dst AS block, s_name AS name FROM dcl JOIN supplier ON s_nationkey = src")
+@query(f"{_B}, rd AS (SELECT ce.func, ce.dst AS block, bl.priority AS name FROM ce JOIN bl ON bl.func = ce.func AND bl.block = ce.src UNION SELECT ce.func, ce.dst, rd.name FROM rd JOIN ce ON ce.func = rd.func AND ce.src = rd.block) SELECT func, block, name FROM rd")
 def reaching_defs(t):
-    return W.reaching_definitions(checkpointed(dag(t)), t.supplier.select(F.col("s_nationkey").cast("long").alias("block"), F.col("s_name").alias("name")))
+    """The priorities of orders before each of a customer's orders."""
+    b = blocks(t)
+    gen = b.select("func", "block", F.col("priority").alias("name"))
+    return K.gen_kill(control(b), gen, gen.limit(0))
 
 
-@query(f"{_REACH}, us AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS block, c_mktsegment AS name FROM customer WHERE c_acctbal > 9500), ki AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS block, c_mktsegment AS name FROM customer WHERE c_acctbal < -900), lv AS (SELECT block, name FROM us UNION SELECT d.src, lv.name FROM lv JOIN d ON d.dst = lv.block WHERE (d.src, lv.name) NOT IN (SELECT (block, name) FROM ki)) SELECT block, name FROM lv")
+@query(f"{_B}, lv AS (SELECT func, block, priority AS name FROM bl WHERE status = 'O' UNION SELECT ce.func, ce.src, lv.name FROM lv JOIN ce ON ce.func = lv.func AND ce.dst = lv.block JOIN bl ON bl.func = ce.func AND bl.block = ce.src WHERE NOT (bl.status = 'F' AND bl.priority = lv.name)) SELECT func, block, name FROM lv")
 def liveness(t):
-    c = t.customer.select(F.col("c_nationkey").cast("long").alias("block"), F.col("c_mktsegment").alias("name"), "c_acctbal")
-    return W.liveness(checkpointed(dag(t)), c.where("c_acctbal > 9500").select("block", "name"), c.where("c_acctbal < -900").select("block", "name"))
+    """Priorities used by an open order ahead before a finished one ends them."""
+    b = blocks(t)
+    named = b.select("func", "block", F.col("priority").alias("name"), "status")
+    return K.gen_kill(control(b), named.where("status = 'O'"), named.where("status = 'F'"), forward=False)
 
 
-_PTS = f"""{_REACH}, pt AS (SELECT DISTINCT src AS value, 'a' || src AS site FROM d WHERE src NOT IN (SELECT dst FROM d) UNION SELECT node, '?' FROM n WHERE node = 24 UNION SELECT d.dst, pt.site FROM pt JOIN d ON pt.value = d.src)"""
+_PTS = f"""{_G}, cp AS MATERIALIZED (SELECT src, dst FROM d WHERE src[1] IN ('C', 'O')), pt AS (SELECT DISTINCT src AS value, src AS site FROM cp WHERE src[1] = 'C' UNION SELECT 'C' || c_custkey, '?' FROM customer WHERE c_acctbal < {{least}} UNION SELECT cp.dst, pt.site FROM pt JOIN cp ON pt.value = cp.src)"""
 
 
-def _points(t: Tables) -> DataFrame:
-    d = checkpointed(dag(t))
-    roots = d.select("src").distinct().join(d.select(F.col("dst").alias("src")), "src", "left_anti")
-    return W.points_to(d, roots.select(F.col("src").alias("value"), F.concat(F.lit("a"), F.col("src").cast("string")).alias("site")), P.nodes(trade(t)).where("node = 24").select(F.col("node").alias("value")))
+def _points(t: Tables, least: int) -> DataFrame:
+    """Customers as allocations, carried to their orders and parts; those with less on account may be anything."""
+    cp = checkpointed(hierarchy(t).where(F.substring("src", 1, 1).isin("C", "O")))
+    own = cp.where("src LIKE 'C%'").select(F.col("src").alias("value"), F.col("src").alias("site")).distinct()
+    return W.points_to(cp, own, t.customer.where(F.col("c_acctbal") < least).select(_id("C", "c_custkey").alias("value")))
 
 
-@query(f"{_PTS} SELECT value, site FROM pt")
+@query(f"{_PTS.replace('{least}', '0')} SELECT value, site FROM pt")
 def points_to(t):
-    return _points(t)
+    return _points(t, 0)
 
 
-@query(f"{_PTS}, lk AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS value, s_suppkey AS func FROM supplier WHERE s_suppkey % 10 = 0), ro AS (SELECT s_suppkey AS func, s_nationkey % 5 AS root FROM supplier), aa AS (SELECT lk.func, site FROM lk JOIN pt USING (value)) SELECT site, count(DISTINCT root) AS roots, CASE WHEN EXISTS (SELECT 1 FROM aa WHERE site = '?') THEN 'unbounded' ELSE CAST(count(DISTINCT root) AS VARCHAR) END AS measure FROM aa LEFT JOIN ro USING (func) WHERE site <> '?' GROUP BY site")
+@query(
+    f"""{_PTS.replace('{least}', '-5000')}, lk AS (SELECT DISTINCT 'P' || l_partkey AS value, l_suppkey AS func FROM lineitem), ro AS (SELECT s_suppkey AS func, s_nationkey AS root FROM supplier), aa AS (SELECT lk.func, site FROM lk JOIN pt USING (value))
+SELECT site, count(DISTINCT root) AS roots, CASE WHEN EXISTS (SELECT 1 FROM aa WHERE site = '?') THEN 'unbounded' ELSE CAST(count(DISTINCT root) AS VARCHAR) END AS measure FROM aa LEFT JOIN ro USING (func) WHERE site <> '?' GROUP BY site"""
+)
 def lock_escape(t):
-    s = t.supplier
-    locks = s.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("func"), F.col("s_nationkey").cast("long").alias("value")).distinct()
-    return W.lock_escape(locks, _points(t), s.select(F.col("s_suppkey").alias("func"), (F.col("s_nationkey") % 5).alias("root")))
+    """How many nations' suppliers lock the parts that a customer's orders come to."""
+    locks = t.lineitem.select(F.col("l_suppkey").alias("func"), _id("P", "l_partkey").alias("value")).distinct()
+    return W.lock_escape(locks, _points(t, -5000), t.supplier.select(F.col("s_suppkey").alias("func"), F.col("s_nationkey").alias("root")))
 
 
 # calls and returns
 
-# every edge is a call site of its own, so a valid path returns to callers and then calls
-_TAINT = f"""{_REACH.replace("d AS (SELECT src, dst FROM e WHERE src < dst)", "d AS (SELECT src, dst FROM e WHERE src < dst AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey IN (src, dst) AND n_regionkey = {{skip}}))")},
-d0 AS (SELECT src, dst FROM dcl UNION SELECT src, src FROM d UNION SELECT dst, dst FROM d)
-SELECT DISTINCT a.dst AS source, b.dst AS sink FROM d0 a JOIN d0 b ON a.src = b.src JOIN nation x ON x.n_nationkey = a.dst JOIN nation y ON y.n_nationkey = b.dst WHERE x.n_regionkey = 0 AND y.n_regionkey = 1"""
+# the bracket closure in rounds of squaring; 25 nations need no more of them
+_VALID = (
+    f"WITH RECURSIVE {FLOWS}, c AS MATERIALIZED (SELECT src, dst, dst % 3 AS id FROM f), b0 AS MATERIALIZED (SELECT src, src AS dst FROM c UNION SELECT dst, dst FROM c), "
+    + ", ".join(f"b{i + 1} AS MATERIALIZED (SELECT src, dst FROM b{i} UNION SELECT x.src, y.src FROM c x JOIN b{i} m ON x.dst = m.src JOIN c y ON m.dst = y.dst AND x.id = y.id UNION SELECT l.src, r.dst FROM b{i} l JOIN b{i} r ON l.dst = r.src)" for i in range(8))
+    + ", up AS (SELECT src, dst FROM b0 UNION SELECT up.src, r.dst FROM up JOIN (SELECT src, dst FROM b8 UNION SELECT dst, src FROM c) r ON up.dst = r.src), dn AS (SELECT src, dst FROM up UNION SELECT dn.src, r.dst FROM dn JOIN (SELECT src, dst FROM b8 UNION SELECT src, dst FROM c) r ON dn.dst = r.src) SELECT src, dst FROM dn"
+)
 
 
-@query(None)
+@query(_VALID)
 def valid_paths(t):
-    return W.valid_paths(checkpointed(dag(t).withColumn("id", F.col("dst") % 3)))
+    """Among nations, by where goods flow; calls of the same id may return to each other's callers."""
+    return W.valid_paths(checkpointed(flows(t).withColumn("id", F.col("dst") % 3)))
+
+
+# every edge is a call site of its own, so a valid path returns to callers and then calls
+def _taint(rule: str) -> str:
+    return f"""{_G}, c AS MATERIALIZED (SELECT src, dst FROM d WHERE src[1] IN ('C', 'O'){rule}),
+sc AS MATERIALIZED (SELECT 'P' || p_partkey AS node FROM part WHERE p_type = 'PROMO' AND p_size = 1), sk AS MATERIALIZED (SELECT 'P' || p_partkey AS node FROM part WHERE p_type = 'SMALL'),
+up AS (SELECT node AS src, node AS dst FROM sc WHERE node IN (SELECT dst FROM c) UNION SELECT up.src, c.src FROM up JOIN c ON up.dst = c.dst),
+dn AS (SELECT src, dst FROM up UNION SELECT dn.src, c.dst FROM dn JOIN c ON dn.dst = c.src) SELECT src AS source, dst AS sink FROM dn JOIN sk ON dst = node"""
+
+
+def _tainted(t: Tables, clean: DataFrame | None = None) -> DataFrame:
+    c = hierarchy(t).where(F.substring("src", 1, 1).isin("C", "O")).withColumn("id", F.concat_ws(">", "src", "dst"))
+    node = _id("P", "p_partkey").alias("node")
+    return W.taint_flows(c, t.part.where("p_type = 'PROMO' AND p_size = 1").select(node), t.part.where("p_type = 'SMALL'").select(node), clean)
 
 
-@query(_TAINT.replace("{skip}", "-1"))
+@query(_taint(""))
 def taint_flows(t):
-    c = checkpointed(dag(t).withColumn("id", F.monotonically_increasing_id()))
-    n = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), "n_regionkey")
-    return W.taint_flows(c, n.where("n_regionkey = 0"), n.where("n_regionkey = 1"))
+    """Small parts that some customer bought who also bought a given kind of promoted parts."""
+    return _tainted(t)
 
 
-@query(_TAINT.replace("{skip}", "2"))
+@query(_taint(" AND dst NOT IN (SELECT 'O' || o_orderkey FROM orders WHERE o_orderstatus = 'F') AND src NOT IN (SELECT 'O' || o_orderkey FROM orders WHERE o_orderstatus = 'F')"))
 def taint_sanitized(t):
-    c = checkpointed(dag(t).withColumn("id", F.monotonically_increasing_id()))
-    n = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), "n_regionkey")
-    return W.taint_flows(c, n.where("n_regionkey = 0"), n.where("n_regionkey = 1"), n.where("n_regionkey = 2"))
+    """The same, finished orders being clean."""
+    return _tainted(t, t.orders.where("o_orderstatus = 'F'").select(_id("O", "o_orderkey").alias("node")))
 
 
 _SITE = "st AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, list_sort(list_distinct(list(l_suppkey))) AS cs FROM lineitem GROUP BY l_orderkey)"
@@ -557,66 +599,103 @@ def dispatch_narrowed_from(t):
     return W.narrowed_from(_sites(t), wide, ["l_orderkey"]).select("l_orderkey", "n", "narrowed_from")
 
 
-@query(f"WITH {TRADE}, mk AS (SELECT CAST(s_nationkey AS BIGINT) AS dst, array_to_string(list_sort(list_distinct(list(s_name))), ',') AS witness FROM supplier WHERE s_acctbal > 9000 GROUP BY 1) SELECT src, dst, witness FROM e LEFT JOIN mk USING (dst)")
+@query(f"WITH {FLOWS}, mk AS (SELECT CAST(s_nationkey AS BIGINT) AS dst, array_to_string(list_sort(list_distinct(list(s_name))), ',') AS witness FROM supplier WHERE s_acctbal > 0 GROUP BY 1) SELECT src, dst, witness FROM f LEFT JOIN mk USING (dst)")
 def witness(t):
-    makers = t.supplier.where("s_acctbal > 9000").select(F.col("s_nationkey").cast("long").alias("dst"), F.col("s_name").alias("pos"))
-    return W.witnesses(trade(t), makers, "dst").select("src", "dst", joined("witness"))
+    makers = t.supplier.where("s_acctbal > 0").select(F.col("s_nationkey").cast("long").alias("dst"), F.col("s_name").alias("pos"))
+    return W.witnesses(flows(t), makers, "dst").select("src", "dst", joined("witness"))
 
 
-@query(f"{_REACH}, sr AS (SELECT src, dst FROM cl UNION SELECT node, node FROM n), lo AS (SELECT DISTINCT src AS dst FROM cl WHERE src = dst), ty AS (SELECT src AS node, list_sort(list_distinct(list('t' || dst))) AS types FROM sr WHERE dst % 4 = 0 GROUP BY src) SELECT n.node, CASE WHEN EXISTS (SELECT 1 FROM sr JOIN lo USING (dst) WHERE sr.src = n.node) THEN 'widened' WHEN types IS NULL THEN 'no-paths' ELSE 'narrow' END AS confidence, coalesce(array_to_string(types, ','), '') AS types FROM n LEFT JOIN ty USING (node)")
+@query(
+    f"""{_G}, bk AS MATERIALIZED (SELECT src, dst FROM d UNION SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+lo AS (SELECT DISTINCT 'C' || o_custkey AS node FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' UNION SELECT bk.src FROM lo JOIN bk ON bk.dst = lo.node),
+ty AS (SELECT 'S' || s_suppkey AS node, 'nation' || s_nationkey AS type FROM supplier WHERE 'S' || s_suppkey IN (SELECT dst FROM d) UNION SELECT bk.src, type FROM ty JOIN bk ON bk.dst = ty.node),
+tl AS (SELECT node, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM ty GROUP BY node), nd AS (SELECT src AS node FROM bk UNION SELECT dst FROM bk)
+SELECT nd.node, CASE WHEN nd.node IN (SELECT node FROM lo) THEN 'widened' WHEN types IS NULL THEN 'no-paths' ELSE 'narrow' END AS confidence, coalesce(types, '') AS types FROM nd LEFT JOIN tl USING (node)"""
+)
 def narrow_types(t):
-    e = checkpointed(trade(t))
-    ends = P.nodes(e).where("node % 4 = 0").select("node", F.concat(F.lit("t"), F.col("node").cast("string")).alias("type"))
-    return W.narrow(e, ends).withColumn("types", joined("types"))
+    """The suppliers' nations that everything comes to; urgent orders of partial status lead back to their customers."""
+    back = t.orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(_id("O", "o_orderkey").alias("src"), _id("C", "o_custkey").alias("dst"))
+    ends = t.supplier.select(_id("S", "s_suppkey").alias("node"), _id("nation", "s_nationkey").alias("type"))
+    return W.narrow(checkpointed(hierarchy(t).union(back)), ends).withColumn("types", joined("types"))
 
 
-# trees: consecutive orders of a customer, as trees of fields and lines
+# trees: consecutive orders of a customer, as trees of fields and lists of lines
 
-_LEAF = """lf AS (SELECT o_orderkey AS tree, 'status' AS path, 'type' AS field, 'string' AS vtype, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', 'name', 'string', o_orderpriority FROM orders
- UNION ALL SELECT l_orderkey, 'lines/' || (rn - 1) || '/flag', 'op', 'string', l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity) AS rn FROM lineitem)
- UNION ALL SELECT l_orderkey, 'lines/' || (rn - 1) || '/quantity', 'value', 'int', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity) AS rn FROM lineitem)),
-pr AS (SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL),
-ll AS (SELECT a, b, path, field, vtype, value FROM pr JOIN lf ON tree = a), rr AS (SELECT a, b, path, field, vtype, value FROM pr JOIN lf ON tree = b),
-df AS (SELECT coalesce(ll.a, rr.a) AS a, coalesce(ll.b, rr.b) AS b, coalesce(ll.path, rr.path) AS path, CASE WHEN rr.path IS NULL THEN 'missing-field' WHEN ll.path IS NULL THEN 'extra-field' WHEN ll.value = rr.value THEN 'shared' ELSE CASE ll.field WHEN 'op' THEN 'operator' WHEN 'type' THEN 'type-name' WHEN 'value' THEN 'literal-value' ELSE 'identifier' END END AS category, ll.value AS "left", rr.value AS "right" FROM ll FULL JOIN rr ON ll.a = rr.a AND ll.b = rr.b AND ll.path = rr.path)"""
+_LINE = "(SELECT *, 'order/lines/' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity) - 1) AS spot FROM lineitem)"
+_LEAF = f"""li AS MATERIALIZED {_LINE},
+lf AS MATERIALIZED (SELECT o_orderkey AS tree, 'order' AS path, '' AS field, 'node' AS vtype, 'order' AS value FROM orders
+ UNION ALL SELECT o_orderkey, 'order/type', 'type', 'string', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'order/signature', 'signature', 'string', 'to ' || o_orderstatus FROM orders
+ UNION ALL SELECT o_orderkey, 'order/name', 'name', 'string', o_orderpriority FROM orders
+ UNION ALL SELECT l_orderkey, spot, 'line', 'node', 'line-' || l_linestatus FROM li UNION ALL SELECT l_orderkey, spot || '/tok', 'tok', 'string', l_returnflag FROM li
+ UNION ALL SELECT l_orderkey, spot || '/value', 'value', 'int', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) FROM li),
+pr AS MATERIALIZED (SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL),
+ll AS MATERIALIZED (SELECT a, b, path, field, vtype, value FROM pr JOIN lf ON tree = a), rr AS MATERIALIZED (SELECT a, b, path, field, vtype, value FROM pr JOIN lf ON tree = b),
+d0 AS MATERIALIZED (SELECT coalesce(ll.a, rr.a) AS a, coalesce(ll.b, rr.b) AS b, coalesce(ll.path, rr.path) AS path, coalesce(ll.vtype, rr.vtype) AS vtype, CASE WHEN rr.path IS NULL OR ll.path IS NULL THEN 'extra-element' WHEN ll.value = rr.value THEN 'shared' WHEN ll.vtype = 'node' THEN 'structural'
+  ELSE CASE ll.field WHEN 'tok' THEN 'operator' WHEN 'type' THEN 'type-name' WHEN 'signature' THEN 'type-name' WHEN 'value' THEN 'literal-value' ELSE 'identifier' END END AS category, ll.value AS "left", rr.value AS "right" FROM ll FULL JOIN rr ON ll.a = rr.a AND ll.b = rr.b AND ll.path = rr.path),
+st AS MATERIALIZED (SELECT a, b, path FROM d0 WHERE vtype = 'node' AND category <> 'shared'),
+df AS MATERIALIZED (SELECT d0.a, d0.b, d0.path, d0.category, "left", "right" FROM d0 LEFT JOIN st ON st.a = d0.a AND st.b = d0.b AND d0.path IN (st.path || '/tok', st.path || '/value') WHERE st.a IS NULL)"""
 
 
 def _diffs(t: Tables) -> DataFrame:
     o = t.orders
-    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
-    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")) - 1
-    line = line.withColumn("at", F.concat(F.lit("lines/"), rn.cast("string")))
-    leaf = lambda df, tree, path, field, vtype, value: df.select(F.col(tree).alias("tree"), path.alias("path"), F.lit(field).alias("field"), F.lit(vtype).alias("vtype"), value.alias("value"))
-    leaves = (
-        leaf(o, "o_orderkey", F.lit("status"), "type", "string", F.col("o_orderstatus"))
-        .unionByName(leaf(o, "o_orderkey", F.lit("priority"), "name", "string", F.col("o_orderpriority")))
-        .unionByName(leaf(line, "l_orderkey", F.concat("at", F.lit("/flag")), "op", "string", F.col("l_returnflag")))
-        .unionByName(leaf(line, "l_orderkey", F.concat("at", F.lit("/quantity")), "value", "int", F.col("l_quantity").cast("long").cast("string")))
-    )
+    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
+    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")) - 1
+    line = line.withColumn("at", F.concat(F.lit("order/lines/"), rn.cast("string")))
+    row = lambda path, field, vtype, value: F.struct(path.alias("path"), F.lit(field).alias("field"), F.lit(vtype).alias("vtype"), value.alias("value"))
+    head = F.array(row(F.lit("order"), "", "node", F.lit("order")), row(F.lit("order/type"), "type", "string", F.col("o_orderstatus")), row(F.lit("order/signature"), "signature", "string", F.concat(F.lit("to "), F.col("o_orderstatus"))), row(F.lit("order/name"), "name", "string", F.col("o_orderpriority")))
+    body = F.array(row(F.col("at"), "line", "node", F.concat(F.lit("line-"), F.col("l_linestatus"))), row(F.concat("at", F.lit("/tok")), "tok", "string", F.col("l_returnflag")), row(F.concat("at", F.lit("/value")), "value", "int", F.col("l_quantity").cast("long").cast("string")))
+    leaves = o.select(F.col("o_orderkey").alias("tree"), F.explode(head).alias("x")).union(line.select("l_orderkey", F.explode(body))).select("tree", "x.*")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     pairs = o.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b IS NOT NULL")
-    return T.tree_diff(pairs, leaves)
+    return T.tree_diff(pairs, leaves, T.classify_ast)
 
 
-@query(f'WITH {_LEAF} SELECT * FROM df WHERE category <> \'shared\'')
+@query(f"WITH {_LEAF} SELECT * FROM df WHERE category <> 'shared'")
 def tree_diff(t):
     return _diffs(t).where("category <> 'shared'")
 
 
-_SCORE = f"""WITH {_LEAF}, sc AS (SELECT a, b, count(*) FILTER (category = 'shared') AS shared, count(*) FILTER (category <> 'shared') AS diff_count, count(*) FILTER (category = 'literal-value') AS value_params, count(DISTINCT ("left", "right")) FILTER (category = 'type-name') AS type_params,
-count(*) FILTER (category NOT IN ('shared', 'type-name', 'identifier')) AS hard, CAST(sum(CASE category WHEN 'type-name' THEN 1 WHEN 'literal-value' THEN 1 WHEN 'operator' THEN 2 WHEN 'missing-field' THEN 50 WHEN 'extra-field' THEN 50 ELSE 0 END) AS BIGINT) AS cost FROM df GROUP BY a, b)"""
+# the signature's letter always follows from the type's
+_SCORE = f"""WITH {_LEAF}, sc AS (SELECT a, b, count(*) FILTER (category = 'shared') AS shared, count(*) FILTER (category <> 'shared') AS diff_count, count(*) FILTER (category = 'type-name' AND path = 'order/signature') AS derived, count(*) FILTER (category = 'literal-value') AS value_params,
+count(DISTINCT "left") FILTER (category = 'type-name' AND path = 'order/type') AS type_params, CAST(sum(CASE category WHEN 'type-name' THEN (CASE path WHEN 'order/type' THEN 1 ELSE 0 END) WHEN 'literal-value' THEN 1 WHEN 'operator' THEN 2 WHEN 'structural' THEN 100 WHEN 'extra-element' THEN 50 ELSE 0 END) AS BIGINT) AS cost FROM df GROUP BY a, b)"""
 
 
-@query(f"{_SCORE} SELECT a, b, shared, diff_count, value_params, type_params, cost, round(CAST(shared AS DOUBLE) / (shared + diff_count), 6) AS similarity FROM sc")
+@query(f"{_SCORE} SELECT a, b, shared, diff_count, derived, value_params, type_params, cost, round(CAST(shared AS DOUBLE) / (shared + diff_count), 6) AS similarity, round(CAST(shared + derived AS DOUBLE) / (shared + diff_count), 6) AS effective FROM sc")
 def score_diffs(t):
-    return T.score(_diffs(t)).select("a", "b", "shared", "diff_count", "value_params", "type_params", "cost", "similarity")
+    return T.score(_diffs(t)).select("a", "b", "shared", "diff_count", "derived", "value_params", "type_params", "cost", "similarity", "effective")
+
+
+_PART = """nx AS MATERIALIZED (SELECT *, lead(p_partkey) OVER w AS b, lead(p_name) OVER w AS name2, lead(p_type) OVER w AS type2 FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_partkey))"""
+
+
+def _parts(t: Tables) -> DataFrame:
+    """Diffs of the parts of a brand and size that follow each other, as trees of their fields."""
+    row = lambda path, field, vtype, value: F.struct(F.lit(path).alias("path"), F.lit(field).alias("field"), F.lit(vtype).alias("vtype"), value.cast("string").alias("value"))
+    leaves = t.part.select(F.col("p_partkey").alias("tree"), F.explode(F.array(row("part", "", "node", F.lit("part")), row("part/name", "name", "string", F.col("p_name")), row("part/type", "type", "string", F.col("p_type")), row("part/label", "label", "string", F.col("p_brand")), row("part/value", "value", "int", F.col("p_size")))).alias("x")).select("tree", "x.*")
+    w = Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")
+    pairs = t.part.select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(w).alias("b")).where("b IS NOT NULL")
+    return T.tree_diff(pairs, leaves, T.classify_ast)
 
 
-@query(f"{_SCORE} SELECT a, b FROM sc WHERE hard = 0 AND CAST(shared AS DOUBLE) / (shared + diff_count) >= 0.6")
+@query(f"WITH {_PART} SELECT p_partkey AS a, b, CAST((CASE WHEN p_name = name2 THEN 1 ELSE 0 END) + (CASE WHEN p_type = type2 THEN 1 ELSE 0 END) + 3 AS BIGINT) AS shared FROM nx WHERE b IS NOT NULL")
 def unifiable(t):
-    return T.unifiable(T.score(_diffs(t))).where("unifiable").select("a", "b")
+    return T.unifiable(T.score(_parts(t))).where("unifiable").select("a", "b", "shared")
 
 
-@query(None)
+@query(f"WITH {_PART} SELECT p_partkey AS a, b, path, text FROM (SELECT *, unnest(['part', 'part/name', 'part/type', 'part/label', 'part/value']) AS path, unnest(['part', p_name, CASE WHEN p_type = type2 THEN p_type ELSE '?T0' END, p_brand, CAST(p_size AS VARCHAR)]) AS text FROM nx WHERE b IS NOT NULL)")
+def unify_template(t):
+    """What two parts have in common, with their types as a parameter."""
+    return T.template(T.collapse(_parts(t))).select("a", "b", "path", "text")
+
+
+_FOLD = "list_reduce(list_prepend({'l': p.l, 'r': ''}, roots), lambda s, q: {'l': replace(s.l, q.l, q.r), 'r': ''}).l"
+
+
+@query(
+    f"""WITH RECURSIVE pp AS (SELECT DISTINCT p_brand, p_name AS l, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part), po AS MATERIALIZED (SELECT p_brand, {{'l': l, 'r': r}} AS p, row_number() OVER (PARTITION BY p_brand ORDER BY length(l), l, r) AS i FROM pp WHERE r IS NOT NULL AND l <> r),
+rs AS (SELECT DISTINCT p_brand, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(l VARCHAR, r VARCHAR)[]) AS roots FROM po UNION ALL SELECT rs.p_brand, po.i, CASE WHEN {_FOLD} = p.r THEN roots ELSE list_append(roots, p) END FROM rs JOIN po ON po.p_brand = rs.p_brand AND po.i = rs.i + 1)
+SELECT p_brand, CAST(len(roots) AS INTEGER) AS roots FROM (SELECT p_brand, arg_max(roots, i) AS roots FROM rs GROUP BY p_brand)"""
+)
 def root_substitution(t):
     """Root substitutions between the names of neighbouring parts, by brand."""
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
@@ -625,23 +704,21 @@ def root_substitution(t):
     return g.select("p_brand", F.size(T.root_substitutions(F.col("p"))).alias("roots"))
 
 
-# duplicates: suppliers with the same rare references
+# duplicates: orders of the same parts
 
-_DUP = f"{_IDF}, kk AS (SELECT DISTINCT func AS item, ref_pkg || ':' || name AS key FROM r), pp AS (SELECT DISTINCT x.item AS a, y.item AS b FROM kk x JOIN kk y ON x.key = y.key AND x.item < y.item), ks AS (SELECT item, list_sort(list(key)) AS keys FROM kk GROUP BY item), sm AS (SELECT a, b, x.keys = y.keys AS same, round(CAST(len(list_intersect(x.keys, y.keys)) AS DOUBLE) / len(list_distinct(list_concat(x.keys, y.keys))), 6) AS similarity FROM pp JOIN ks x ON x.item = a JOIN ks y ON y.item = b), sv AS (SELECT *, CASE WHEN same THEN 'proven' WHEN similarity >= 0.5 THEN 'structural' ELSE 'divergent' END AS tier FROM sm)"
+_DUP = f"""WITH {REFERENCES}, ks AS MATERIALIZED (SELECT func AS item, list_sort(list(name)) AS keys FROM r GROUP BY func), fs AS MATERIALIZED (SELECT item, keys, min(item) OVER (PARTITION BY keys) AS first FROM ks),
+rp AS MATERIALIZED (SELECT item, keys, unnest(keys) AS key FROM fs WHERE item = first), pp AS MATERIALIZED (SELECT x.item AS a, y.item AS b, count(*) AS cm, any_value(len(x.keys) + len(y.keys)) AS n FROM rp x JOIN rp y ON x.key = y.key AND x.item < y.item GROUP BY 1, 2),
+sv AS (SELECT first AS a, item AS b, 1.0::DOUBLE AS similarity, 'proven' AS tier FROM fs WHERE item <> first UNION ALL SELECT a, b, round(CAST(cm AS DOUBLE) / (n - cm), 6), CASE WHEN CAST(cm AS DOUBLE) / (n - cm) >= 0.6 THEN 'structural' ELSE 'divergent' END FROM pp WHERE cm * 5 >= (n - cm) * 2)"""
 
 
 def _duplicates(t: Tables) -> DataFrame:
-    k = checkpointed(brands(t).select(F.col("func").alias("item"), F.concat_ws(":", "ref_pkg", "name").alias("key")).distinct())
-    own = k.groupBy("item").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    p = C.duplicate_pairs(own, k)
-    j = p.join(own.select(F.col("item").alias("a"), F.col("keys").alias("ka")), "a").join(own.select(F.col("item").alias("b"), F.col("keys").alias("kb")), "b")
-    j = j.withColumn("similarity", F.round(C.jaccard("ka", "kb"), 6))
-    return j.withColumn("tier", C.tier(F.col("ka") == F.col("kb"), F.col("similarity"), 0.5))
+    s = C.similar_sets(references(t).select(F.col("func").alias("item"), F.col("name").alias("key")))
+    return s.select("a", "b", F.round("similarity", 6).alias("similarity"), C.tier(F.col("same"), F.col("similarity")).alias("tier"))
 
 
 @query(f"{_DUP} SELECT a, b, similarity, tier FROM sv")
 def dup_scored(t):
-    return _duplicates(t).select("a", "b", "similarity", "tier")
+    return _duplicates(t)
 
 
 @query(f"{_DUP} SELECT a, b, CASE tier WHEN 'proven' THEN 'duplicate' WHEN 'structural' THEN 'likely-duplicate' ELSE 'distinct' END AS verdict FROM sv")
@@ -649,39 +726,64 @@ def dup_verdict(t):
     return _duplicates(t).select("a", "b", C.verdict("tier").alias("verdict"))
 
 
-@query(f"{_DUP}, cs AS (SELECT l_suppkey AS item, list_distinct(list(l_orderkey)) AS callers FROM lineitem GROUP BY l_suppkey) SELECT a, b, CASE WHEN sa.s_nationkey = sb.s_nationkey THEN 'same-pkg' WHEN len(list_intersect(ca.callers, cb.callers)) > 0 THEN 'shared-callers' ELSE 'disjoint' END AS locality, CAST(len(list_distinct(list_concat(ca.callers, cb.callers))) AS INTEGER) AS new_edges FROM sv JOIN supplier sa ON sa.s_suppkey = a JOIN supplier sb ON sb.s_suppkey = b JOIN cs ca ON ca.item = a JOIN cs cb ON cb.item = b WHERE tier <> 'divergent'")
+@query(f"{_DUP}, cs AS MATERIALIZED (SELECT l_orderkey AS item, list_distinct(list(l_suppkey)) AS callers, any_value(o_custkey) AS cust FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey) SELECT a, b, CASE WHEN ca.cust = cb.cust THEN 'same-pkg' WHEN len(list_intersect(ca.callers, cb.callers)) > 0 THEN 'shared-callers' ELSE 'disjoint' END AS locality, CAST(len(list_distinct(list_concat(ca.callers, cb.callers))) AS INTEGER) AS new_edges FROM sv JOIN cs ca ON ca.item = a JOIN cs cb ON cb.item = b WHERE tier <> 'divergent'")
 def dup_cost(t):
     p = _duplicates(t).where("tier <> 'divergent'").select("a", "b")
-    cs = t.lineitem.groupBy(F.col("l_suppkey").alias("item")).agg(F.collect_set("l_orderkey").alias("callers")).join(t.supplier.select(F.col("s_suppkey").alias("item"), "s_nationkey"), "item")
-    side = lambda x: cs.select(F.col("item").alias(x), F.col("callers").alias(f"c{x}"), F.col("s_nationkey").alias(f"n{x}"))
+    cs = t.lineitem.groupBy(F.col("l_orderkey").alias("item")).agg(F.collect_set("l_suppkey").alias("callers")).join(t.orders.select(F.col("o_orderkey").alias("item"), "o_custkey"), "item")
+    side = lambda x: cs.select(F.col("item").alias(x), F.col("callers").alias(f"c{x}"), F.col("o_custkey").alias(f"n{x}"))
     j = p.join(side("a"), "a").join(side("b"), "b")
     return j.select("a", "b", C.locality(F.col("na") == F.col("nb"), "ca", "cb").alias("locality"), C.new_edges("ca", "cb").alias("new_edges"))
 
 
-_NORM = "dd AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'))) AS h FROM documents)"
+_NORM = "dd AS (SELECT doc_id, md5(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS h FROM documents WHERE text IS NOT NULL)"
 
 
 @query(f"WITH {_NORM} SELECT min(doc_id) AS first_doc, count(*) AS size FROM dd GROUP BY h HAVING count(*) > 1")
 def dup_clusters(t):
-    h = F.md5(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")))
-    return t.documents.select("doc_id", h.alias("h")).groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("size")).where("size > 1").select("first_doc", "size")
+    """Documents that differ in case and white space only; texts are hashed before they are grouped."""
+    h = F.md5(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    return t.documents.where("text IS NOT NULL").select("doc_id", h.alias("h")).groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("size")).where("size > 1").select("first_doc", "size")
 
 
 # domains
 
 
-@query("SELECT l_partkey, CASE WHEN min(s) = max(s) THEN min(s) ELSE 'top' END AS sign FROM (SELECT l_partkey, CASE WHEN v < 0 THEN 'neg' WHEN v > 0 THEN 'pos' ELSE 'zero' END AS s FROM (SELECT l_partkey, CAST(l_quantity AS BIGINT) - 25 AS v FROM lineitem)) GROUP BY l_partkey")
+# each part as a function: x starts with its size, and a loop adds a step that its type gives and doubles y
+_LOOP = "lp AS (SELECT p_partkey AS func, CAST(p_size AS DOUBLE) AS size, CASE p_type WHEN 'SMALL' THEN -1 WHEN 'MEDIUM' THEN 0 ELSE 2 END AS step FROM part)"
+
+
+def _loops(t: Tables) -> tuple[DataFrame, DataFrame]:
+    step = F.when(F.col("p_type") == "SMALL", "-1:int").when(F.col("p_type") == "MEDIUM", "0:int").otherwise("2:int")
+    row = lambda block, ord_, name, op, x, y: F.struct(F.lit(block).alias("block"), F.lit(ord_).alias("ord"), F.lit(name).alias("name"), F.lit(op).alias("op"), x.alias("x"), y.alias("y"))
+    lit = F.lit
+    code = F.array(
+        row(0, 0, "x0", "+", F.concat(F.col("p_size").cast("string"), lit(":int")), lit("0:int")),
+        row(1, 0, "x1", "phi", lit("x0"), lit("x2")),
+        row(2, 0, "x2", "+", lit("x1"), step),
+        row(3, 0, "y", "*", lit("x1"), lit("2:int")),
+    )
+    ins = t.part.select(F.col("p_partkey").alias("func"), F.explode(code).alias("i")).select("func", "i.*")
+    edge = F.array(*[F.struct(lit(a).alias("src"), lit(b).alias("dst")) for a, b in ((0, 1), (1, 2), (2, 1), (1, 3))])
+    return ins, t.part.select(F.col("p_partkey").alias("func"), F.explode(edge).alias("e")).select("func", "e.*")
+
+
+@query(f"WITH {_LOOP} SELECT func, unnest(['x0', 'x1', 'x2', 'y']) AS name, unnest(CASE WHEN step = 0 THEN ['pos', 'pos', 'pos', 'pos'] WHEN step > 0 THEN ['pos', 'pos', 'pos', 'pos'] ELSE ['pos', 'top', 'top', 'top'] END) AS sign FROM lp")
 def sign_analysis(t):
-    s = t.lineitem.select("l_partkey", D.sign(F.col("l_quantity").cast("long") - 25).alias("s"))
-    return s.groupBy("l_partkey").agg(D.sign_join(F.min("s"), F.max("s")).alias("sign"))
+    return K.signs(*_loops(t))
 
 
-@query("SELECT l_partkey, round(min(l_extendedprice) * (1 - max(l_discount)), 4) AS lo, round(max(l_extendedprice) * (1 - min(l_discount)), 4) AS hi FROM lineitem GROUP BY l_partkey")
+@query(
+    f"""WITH {_LOOP}, w AS (SELECT func, size, CASE WHEN step < 0 THEN '-Infinity'::DOUBLE ELSE size END AS lo, CASE WHEN step > 0 THEN 'Infinity'::DOUBLE ELSE size END AS hi, CASE WHEN step > 0 THEN 2 ELSE 0 END AS first, CASE WHEN step < 0 THEN -1 ELSE 0 END AS last FROM lp)
+SELECT func, unnest(['x0', 'x1', 'x2', 'y']) AS name, unnest([size, lo, lo + first, 2 * lo]) AS lo, unnest([size, hi, hi + last, 2 * hi]) AS hi FROM w"""
+)
 def interval_analysis(t):
-    g = t.lineitem.groupBy("l_partkey").agg(F.min("l_extendedprice").alias("a"), F.max("l_extendedprice").alias("b"), F.min("l_discount").alias("c"), F.max("l_discount").alias("d"))
-    rest = D.interval_op("sub", D.interval(F.lit(1.0), F.lit(1.0)), D.interval(F.col("c"), F.col("d")))
-    x = D.interval_op("mul", D.interval(F.col("a"), F.col("b")), rest)
-    return g.select("l_partkey", F.round(x["lo"], 4).alias("lo"), F.round(x["hi"], 4).alias("hi"))
+    """Bounds that the loop moves are widened."""
+    return K.intervals(*_loops(t))
+
+
+@query(f"WITH {_LOOP} SELECT func, unnest(['x0', 'x1', 'x2', 'y']) AS name, unnest(CASE WHEN step = 0 THEN [CAST(CAST(size AS BIGINT) AS VARCHAR), CAST(CAST(size AS BIGINT) AS VARCHAR), CAST(CAST(size AS BIGINT) AS VARCHAR), CAST(CAST(size * 2 AS BIGINT) AS VARCHAR)] ELSE [CAST(CAST(size AS BIGINT) AS VARCHAR), 'top', 'top', 'top'] END) AS value FROM lp")
+def const_loops(t):
+    return K.constants(*_loops(t))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 5 WHEN 0 THEN q + n WHEN 1 THEN q - n WHEN 2 THEN q * n WHEN 3 THEN q // n ELSE q % n END AS value FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n FROM lineitem)")
@@ -716,7 +818,7 @@ def findings_render(t):
     return _findings(t).select(N.render(F.col("f")).alias("line"))
 
 
-@query(f"WITH {SITES}, {VERDICT}, li AS (SELECT category, 'orders:' || site || ' — deviates (category=' || category || ', pattern=' || pattern || ') [0.50]' AS line FROM s, m WHERE category <> pattern) SELECT category, upper(category) || ' (' || count(*) || ')' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS text FROM li GROUP BY category")
+@query(f"WITH {SITES}, {VERDICT}, li AS (SELECT category, 'orders:' || site || ' — deviates (category=' || category || ', pattern=' || pattern || ') [0.50]' AS line FROM s, m WHERE category <> pattern) SELECT category, true AS header, upper(category) || ' (' || count(*) || ')' AS text FROM li GROUP BY category UNION ALL SELECT category, false, line FROM li")
 def findings_by_category(t):
     return N.render_category(_findings(t).select("category", N.render(F.col("f")).alias("line")), "category", "line")
 

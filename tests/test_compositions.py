@@ -36,7 +36,7 @@ def test_constants_and_signs(spark):
     ins = spark.createDataFrame([("f", 0, 0, "a", "+", "2:int", "3:int"), ("f", 0, 1, "b", "*", "a", "-4:int"), ("f", 1, 0, "c", "+", "a", "p"), ("f", 1, 1, "d", "/", "a", "0:int"), ("f", 1, 2, "e", "/", "b", "3:int")], INS)
     blocks = spark.createDataFrame([("f", 0, 1)], "func string, src int, dst int")
     assert {r.name: r.value for r in K.constants(ins, blocks).collect()} == {"a": "5", "b": "-20", "c": "top", "d": "top", "e": "-6"}
-    assert {r.name: r.value for r in K.constants(ins, blocks, signs=True).collect()}["b"] == "neg"
+    assert {r.name: r.sign for r in K.signs(ins, blocks).collect()} == {"a": "pos", "b": "neg", "c": "top", "d": "top", "e": "top"}
 
 
 def test_intervals_end_on_loops(spark):
