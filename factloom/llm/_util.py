@@ -36,14 +36,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _hadoop(spark: SparkSession, at: str):
+    """(file system, path) of a place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def until_exit(spark: SparkSession, at: str) -> str:
+    """``at``, which goes when the driver's JVM ends."""
+    fs, path = _hadoop(spark, at)
+    fs.deleteOnExit(path)
+    return at
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    fs, path = _hadoop(spark, at)
+    fs.delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the cluster's shared folder, with its lineage cut; smaller than a checkpoint."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, at))
+
+
 def fresh(prefix: str) -> str:
     """A column name that no input can have."""
     return f"__{prefix}_{uuid.uuid4().hex[:12]}"
 
 
+def _part(c: Column) -> Column:
+    """A text that tells NULL from any value."""
+    return F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
+
+
 def row_key(df: DataFrame, seed: int) -> Column:
     """64-bit hash of all columns of a row; two seeds together identify its content."""
-    return F.xxhash64(F.lit(seed), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in df.columns])
+    return F.xxhash64(F.lit(seed), *[_part(F.col(f"`{c}`")) for c in df.columns])
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,46 +2,51 @@
 
 Every row of a query table is a query.  Its score for a document is the sum over
 its distinct words of an integer BM25 weight, so a query of m words adds up m
-score lists, one of each word, spread over the cluster.
+score lists, one of each word; every task holds the part of the lists that its documents have.
 
-1. Each word gives the K best entries of its list.  They add up to partial scores, whose
-   K-th greatest for a query is a lower bound L of its true K-th score.
-2. The cutoff L / m is sent out: a document without an entry of at least that
-   scores below L.  All entries of at least the cutoff are collected; they add up to a
-   better bound, and a document that can't reach it even with every missing
-   entry just under the cutoff is dropped.
-3. The remaining documents' scores are completed exactly from all lists.
+1. Each task gathers the K best entries of its part of every list, and the K best of each whole list name documents.
+   These documents' scores are completed; the K-th greatest of a query is a lower bound L of its true K-th score.
+2. A cutoff is sent out.  Were it L / m, a document without an entry of at least that would score below L.  The words
+   of the r smallest greatest entries, R in sum, can add no more than R, so (L - R) / (m - r) is as safe a cutoff for the
+   lists of the other m - r words; the r that makes it greatest is taken.  Entries of at least the cutoff are collected.
+3. The scores of the documents that have one are completed exactly.  All entries of a document lie together, so this takes
+   no exchange: a task sends on the K best complete scores of each query that reach L.
 
 Weights are integers, so sums don't depend on their order.  Equal scores are
 ranked by doc_id, then by row.  Words are runs of ASCII letters or digits or of
 other characters beyond ASCII, in lower case.
 
-The scan is a narrow map: it keeps the postings of query words only, sent as a
-sorted array of hashes if there are at most ``SENT_WORDS`` of them (else all
-postings go through a join).  Document frequencies and the mean length come from
-all documents.
+The one scan of the texts is a narrow map that keeps each document's query words, written as Parquet in the shared folder.
+Queries are sent as sorted arrays of their words, in blocks of about ``SENT_WORDS`` words; each block has a scan of its own.
+Document frequencies and the mean length come from all documents.
 
-Defined results: a null or empty query has no results, and a document without a common word
+Defined results: a text is read whole, however long; an empty table of documents or queries gives no rows, and columns other than
+``doc_id``, ``text`` and the query's key are ignored.  A null or empty query has no results, and a document without a common word
 is never one, so a query may have fewer than K.  Null and empty documents score nothing but
 count as documents.  Repeated documents are results each; repeated queries are answered each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import pieces, words
-from ._util import checkpointed, documents, small_side
+from ._text import pieces, relax, words
+from ._util import checkpointed, documents, written
 
 K = 10
 K1, B = 1.2, 0.75
 SCALE = 1000
-SENT_WORDS = 2_000_000
+SENT_WORDS = 200_000
+#: (document, query) entries that a task looks at together, about.
+STEP = 1 << 20
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,95 +59,205 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["qid"].take(at), b["item"].take(at), pa.array(pair["f1"])], ["qid", "item", "word"])
 
 
-def _postings(wanted: np.ndarray | None) -> Callable:
-    """(word, rid, doc_id, tf, len) of the words in ``wanted`` (all if None)."""
+def _scan(wanted: np.ndarray) -> Callable:
+    """(rid, doc_id, len, docs, words, tfs): the words in ``wanted`` of each document that has any; and a row with ``docs`` and the words in ``len`` of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "doc_id", "len", "docs", "words", "tfs"]
         for b in batches:
             for i, part in pieces(b["text"].fill_null(""), 4 << 20):
                 h, _, _, first = words(part)
                 n = np.diff(first)
-                row = np.repeat(np.arange(len(part)), n)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.nulls(1, b["doc_id"].type), pa.array([len(h)]), pa.array([len(part)]), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int32()))], names)
                 w = h.view(np.int64)
-                if wanted is not None and len(wanted):
-                    at = np.searchsorted(wanted, w)
-                    at[at == len(wanted)] = 0
-                    hit = wanted[at] == w
-                    code, row = at[hit], row[hit]
-                    key, tf = np.unique(row * len(wanted) + code, return_counts=True)
-                    row, w = key // len(wanted), wanted[key % len(wanted)]
-                elif wanted is None:
-                    order = np.lexsort((w, row))
-                    w, row = w[order], row[order]
-                    new = np.ones(len(w), bool)
-                    new[1:] = (w[1:] != w[:-1]) | (row[1:] != row[:-1])
-                    start = np.flatnonzero(new)
-                    tf = np.diff(np.append(start, len(w)))
-                    w, row = w[start], row[start]
-                else:
+                at = np.searchsorted(wanted, w)
+                at[at == len(wanted)] = 0
+                hit = wanted[at] == w
+                key, tf = np.unique(np.repeat(np.arange(len(part)), n)[hit] * len(wanted) + at[hit], return_counts=True)
+                row, code = np.divmod(key, len(wanted))
+                some, start = np.unique(row, return_index=True)
+                off = pa.array(np.append(start, len(row)), pa.int32())
+                at = pa.array(some + i)
+                yield pa.RecordBatch.from_arrays(
+                    [b["rid"].take(at), b["doc_id"].take(at), pa.array(n[some].astype(np.int64)), pa.nulls(len(some), pa.int64()), pa.ListArray.from_arrays(off, pa.array(wanted[code])), pa.ListArray.from_arrays(off, pa.array(tf.astype(np.int32)))], names
+                )
+            relax()
+
+    return run
+
+
+@dataclass
+class Lists:
+    """What is sent of a block of queries: its words, their weights in general, and the queries of each word."""
+
+    wanted: np.ndarray
+    idf: np.ndarray
+    mean: float
+    first: np.ndarray  #: where each word's queries begin
+    query: np.ndarray  #: queries, by word
+    n: int  #: of queries
+
+    def entries(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word, weight) of a batch of documents."""
+        lists = b["words"]
+        size = np.asarray(lists.value_lengths(), np.int64)
+        row = np.repeat(np.arange(b.num_rows), size)
+        code = np.searchsorted(self.wanted, lists.flatten().to_numpy(zero_copy_only=False))
+        tf = b["tfs"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        length = b["len"].to_numpy(zero_copy_only=False)[row]
+        weight = self.idf[code] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))) * SCALE
+        return row, code, np.floor(weight + 0.5).astype(np.int64)
+
+    def steps(self, b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, rows, entries of queries, weights): every query's entries of some rows at a time, as places in ``query``."""
+        row, code, weight = self.entries(b)
+        n = self.first[code + 1] - self.first[code]
+        cum = np.concatenate([[0], np.cumsum(n)])
+        lo = 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(cum, cum[lo] + STEP)) - 1)
+            hi = int(np.searchsorted(row, row[hi - 1], "right"))  # whole rows
+            m = n[lo:hi]
+            at = np.repeat(self.first[code[lo:hi]] - (cum[lo:hi] - cum[lo]), m) + np.arange(cum[hi] - cum[lo])
+            yield row[lo], np.repeat(row[lo:hi], m), at, np.repeat(weight[lo:hi], m)
+            lo = hi
+
+
+def _best(keys: list[np.ndarray], k: int) -> np.ndarray:
+    """Places of the first ``k`` of each value of the first key in the order of all keys."""
+    order = np.lexsort(keys[::-1])
+    g = keys[0][order]
+    nth = np.arange(len(g)) - np.searchsorted(g, g)
+    return order[nth < k]
+
+
+def _gather(held, k: int) -> Callable:
+    """(word, rid, weight): the k best entries of every word in a batch; phase 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = held.value
+        for b in batches:
+            row, code, weight = lists.entries(b)
+            at = _best([code, -weight], k)
+            yield pa.RecordBatch.from_arrays([pa.array(code[at]), b["rid"].take(pa.array(row[at])), pa.array(weight[at])], ["word", "rid", "weight"])
+
+    return run
+
+
+def _complete(held, sent, k: int) -> Callable:
+    """(q, score): the k best scores of each query among the documents ``sent`` (sorted) of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, rids = held.value, sent.value
+        for b in batches:
+            rid = b["rid"].to_numpy(zero_copy_only=False)
+            at = np.searchsorted(rids, rid)
+            at[at == len(rids)] = 0
+            b = b.filter(pa.array(rids[at] == rid))
+            for low, row, at, weight in lists.steps(b):
+                key, place = np.unique((row - low) * lists.n + lists.query[at], return_inverse=True)
+                score = np.bincount(place.ravel(), weight).astype(np.int64)
+                q = key % lists.n
+                top = _best([q, -score], k)
+                yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(score[top])], ["q", "score"])
+
+    return run
+
+
+def _collect(held, cut, k: int) -> Callable:
+    """(q, rid, doc_id, score): the k best documents of each query in a batch that reach its bound; phases 2 and 3.
+
+    ``cut`` has, by query, need and parts (an entry passes if weight * parts >= need) and the bound, and, by place in the lists, whether the entry's word is under the cutoff.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, (need, parts, bound, inner) = held.value, cut.value
+        for b in batches:
+            for low, row, at, weight in lists.steps(b):
+                q = lists.query[at]
+                key = (row - low) * lists.n + q
+                some = np.unique(key[inner[at] & (weight * parts[q] >= need[q])])
+                if not len(some):
                     continue
-                at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([pa.array(w), b["rid"].take(at), b["doc_id"].take(at), pa.array(tf.astype(np.int32)), pa.array(n[row].astype(np.int32))], ["word", "rid", "doc_id", "tf", "len"])
+                place = np.searchsorted(some, key)
+                place[place == len(some)] = 0
+                ok = some[place] == key
+                score = np.bincount(place[ok], weight[ok], len(some)).astype(np.int64)
+                good = score >= np.maximum(bound[some % lists.n], 1)
+                some, score = some[good], score[good]
+                q = some % lists.n
+                docs = pa.array(some // lists.n + low)
+                out = pa.table({"q": pa.array(q), "rid": b["rid"].take(docs), "doc_id": b["doc_id"].take(docs), "score": pa.array(score)})
+                order = pa.compute.sort_indices(out, [("q", "ascending"), ("score", "descending"), ("doc_id", "ascending"), ("rid", "ascending")])
+                g = q[order.to_numpy()]
+                yield from out.take(order.filter(pa.array(np.arange(len(g)) - np.searchsorted(g, g) < k))).combine_chunks().to_batches()
 
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        total = sum(len(words(part)[0]) for _, part in pieces(b["text"].fill_null(""), 4 << 20))
-        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([total])], ["docs", "words"])
+def _answers(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, doc_id, score) of one block of queries (qid, word)."""
+    spark = docs.sparkSession
+    key = docs.schema["doc_id"].dataType.simpleString()
+    table = terms.select("qid", "word").toArrow()
+    qids, query = np.unique(table["qid"].to_numpy(), return_inverse=True)
+    wanted, code = np.unique(table["word"].to_numpy(), return_inverse=True)
+    query, code = query.ravel(), code.ravel()
+    if not len(wanted):
+        return spark.createDataFrame([], f"qid long, rank int, doc_id {key}, score long")
+    order = np.lexsort((query, code))
+    query, code = query[order], code[order]
+    post = written(docs.mapInArrow(_scan(wanted), f"rid long, doc_id {key}, len long, docs long, words array<long>, tfs array<int>"))
+    size = post.where("docs IS NOT NULL").agg(F.sum("docs"), F.sum("len")).first()
+    n, mean = size[0] or 0, max(1.0, (size[1] or 0) / max(1, size[0] or 0))
+    post = post.where("docs IS NULL")
+    counts = post.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    df = np.zeros(len(wanted))
+    df[np.searchsorted(wanted, counts["word"].to_numpy())] = counts["df"].to_numpy()
+    held = spark.sparkContext.broadcast(Lists(wanted, np.log((n - df + 0.5) / (df + 0.5) + 1.0), mean, np.searchsorted(code, np.arange(len(wanted) + 1)), query, len(qids)))
+
+    # 1: the k best entries of every list; the k-th best score that the documents in them have (0 if a query has fewer)
+    best = post.mapInArrow(_gather(held, k), "word long, rid long, weight long")
+    best = best.withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("weight"), "rid"))).where(F.col("nth") <= k).toArrow()
+    rids = np.unique(best["rid"].to_numpy())
+    most = np.zeros(len(wanted), np.int64)
+    np.maximum.at(most, best["word"].to_numpy(), best["weight"].to_numpy())
+    bound = np.zeros(len(qids), np.int64)
+    if len(rids):
+        scores = post.mapInArrow(_complete(held, spark.sparkContext.broadcast(rids), k), "q long, score long")
+        scores = scores.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("nth") == k).toArrow()
+        bound[scores["q"].to_numpy()] = scores["score"].to_numpy()
+    # 2: the cutoff; a query's words by their greatest entries, of which the first r are left out
+    order = np.lexsort((code, most[code], query))
+    start = np.searchsorted(query[order], np.arange(len(qids)))
+    m = np.diff(np.append(start, len(order)))
+    r = np.arange(len(order)) - np.repeat(start, m)
+    top = most[code[order]]
+    cum = np.cumsum(top) - top
+    rest = cum - np.repeat(cum[start], m)
+    level = (np.repeat(bound, m) - rest) / (np.repeat(m, m) - r)
+    choice = _best([query[order], -level], 1)
+    need, parts = bound - rest[choice], m - r[choice]
+    inner = np.zeros(len(order), bool)
+    inner[order] = r >= np.repeat(r[choice], m)
+    # 3: complete scores of the documents with an entry over it
+    cut = spark.sparkContext.broadcast((need, parts, bound, inner))
+    found = post.mapInArrow(_collect(held, cut, k), f"q long, rid long, doc_id {key}, score long")
+    rank = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "rid")
+    names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(qids))), "qid": pa.array(qids)}))
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).join(names, "q").select("qid", "rank", "doc_id", "score")
 
 
 def search(docs: DataFrame, queries: DataFrame, item: str = "item_id", k: int = K) -> DataFrame:
     """(item, rank, doc_id, score): the ``k`` best documents of every row of ``queries`` (item, text)."""
-    spark = docs.sparkSession
     item_type = queries.schema[item].dataType.simpleString()
-    key = docs.schema["doc_id"].dataType.simpleString()
-    q = queries.select(F.monotonically_increasing_id().alias("qid"), F.col(f"`{item}`").alias("item"), "text")
+    q = queries.select(F.monotonically_increasing_id().alias("qid"), F.col(f"`{item}`").alias("item"), F.col("text").cast("string").alias("text"))
     q = checkpointed(q.mapInArrow(_terms, f"qid long, item {item_type}, word long"))
-    distinct = q.select("word").distinct()
-    few = distinct.count()
-    wanted = None
-    if few <= SENT_WORDS:
-        wanted = np.sort(distinct.toArrow()["word"].to_numpy().astype(np.int64))
-    held = spark.sparkContext.broadcast(wanted)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
-    post = rows.mapInArrow(lambda it: _postings(held.value)(it), f"word long, rid long, doc_id {key}, tf int, len int")
-    if wanted is None:
-        post = post.join(distinct, "word", "left_semi")
-    post = checkpointed(post)
-    size = rows.select("text").mapInArrow(_count_words, "docs long, words long").agg(F.sum("docs"), F.sum("words")).first()
-    n, mean = size[0] or 0, max(1.0, (size[1] or 0) / max(1, size[0] or 0))
-
-    # a list for each word: (word, rid, doc_id, weight), its frequency from all documents
-    df = checkpointed(post.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
-    idf = F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
-    lists = post.join(small_side(df), "word").select("word", "rid", "doc_id", F.round(idf * sat * SCALE).cast("long").alias("weight"))
-
-    m = checkpointed(q.groupBy("qid").agg(F.first("item").alias("item"), F.count(F.lit(1)).alias("m")))
-    terms = q.select("qid", "word").join(small_side(m.select("qid", "m")), "qid")
-
-    def kth(sums: DataFrame) -> DataFrame:
-        """(qid, bound): the k-th greatest sum of each query, 0 if it has fewer."""
-        top = sums.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sum")))).where(F.col("nth") <= k)
-        return top.groupBy("qid").agg(F.min("sum").alias("low"), F.count(F.lit(1)).alias("n")).select("qid", F.when(F.col("n") >= k, F.col("low")).otherwise(0).alias("bound"))
-
-    # 1: the k best entries of every list
-    best = lists.withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("weight"), "rid"))).where(F.col("nth") <= k).select("word", "rid", "weight")
-    first = kth(terms.join(best, "word").groupBy("qid", "rid").agg(F.sum("weight").alias("sum")))
-    # 2: entries of at least the uniform cutoff
-    cut = checkpointed(terms.join(first, "qid", "left").select("qid", "word", "m", (F.coalesce("bound", F.lit(0)) / F.col("m")).alias("cut")))
-    got = lists.join(small_side(cut), "word").where("weight >= cut").groupBy("qid", "rid").agg(F.sum("weight").alias("sum"), F.count(F.lit(1)).alias("seen"), F.first("m").alias("m"), F.first("cut").alias("cut"))
-    got = checkpointed(got)
-    second = checkpointed(kth(got))
-    left = got.join(small_side(second), "qid").where("sum + (m - seen) * cut >= bound").select("qid", "rid")
-    # 3: exact scores of what is left
-    left = checkpointed(left)
-    exact = lists.join(small_side(left), "rid").join(small_side(q.select("qid", "word")), ["qid", "word"]).groupBy("qid", "rid").agg(F.sum("weight").alias("score"), F.first("doc_id").alias("doc_id"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "rid")
-    ranked = exact.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.join(small_side(m.select("qid", "item")), "qid").select(F.col("item").alias(item), "rank", "doc_id", "score")
+    blocks = max(1, math.ceil(q.count() / SENT_WORDS))
+    parts = [_answers(rows, q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i), k) for i in range(blocks)]
+    items = q.select("qid", "item").distinct()
+    return reduce(DataFrame.unionByName, parts).join(items, "qid").select(F.col("item").alias(item), "rank", "doc_id", "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,8 @@ def test_topk_against_brute_force(spark, monkeypatch):
     q = spark.createDataFrame(queries, "item_id long, text string")
     want = brute_topk(rows, queries, 5)
     assert sorted(map(tuple, topk.search(d, q, k=5).collect())) == want
-    monkeypatch.setattr(topk, "SENT_WORDS", 0)
+    monkeypatch.setattr(topk, "SENT_WORDS", 8)
+    monkeypatch.setattr(topk, "STEP", 16)
     assert sorted(map(tuple, topk.search(d, q, k=5).collect())) == want
     assert topk.search(d.limit(0), q).count() == 0 and topk.search(d, q.limit(0)).count() == 0
 
