@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -307,3 +308,67 @@ def test_entry_has_all(spark):
     assert {"pipeline"} | {f"op{i}_" for i in range(1, 11)} <= {"pipeline"} | {n.split("_")[0] + "_" for n in names if n.startswith("op")}
     assert set(E.oracle_sql()) <= names
     assert F is not None
+
+
+def _joined(ids, a, b):
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        up[max(root(x), root(y))] = min(root(x), root(y))
+    return {i: root(i) for i in ids}
+
+
+def bucket_of(rng, n):
+    """Members that share four slots: far ones, near groups, chains."""
+    s = rng.integers(0, 1 << 16, (n, neardup.SLOTS)).astype(np.uint16)
+    for i in range(1, n):
+        if rng.random() < 0.6:
+            s[i] = s[rng.integers(0, i)]
+            k = rng.integers(0, 40)
+            s[i, rng.integers(0, neardup.SLOTS, k)] = rng.integers(0, 1 << 16, k)
+    s[:, [0, 2, 3, 5]] = 7
+    return s
+
+
+def test_connect_by_second_keys_joins_what_all_pairs_join(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (60, 200, 200):
+        s, ids = bucket_of(rng, n), np.sort(rng.choice(10_000, n, replace=False))
+        i, j = np.nonzero(np.triu((s[:, None] != s[None]).sum(2) <= neardup.RADIUS, 1))
+        want = _joined(ids, ids[i], ids[j])
+        monkeypatch.setattr(neardup, "SPLIT_FROM", 1 << 30)
+        assert _joined(ids, *neardup.connect(ids, s)) == want
+        monkeypatch.setattr(neardup, "SPLIT_FROM", 4)
+        for scans in (0, 1, 5):
+            monkeypatch.setattr(neardup, "SCANS", scans)
+            assert _joined(ids, *neardup.connect(ids, s)) == want
+
+
+def test_connect_of_many_far_members_is_fast():
+    s = np.random.default_rng(1).integers(0, 1 << 16, (100_000, neardup.SLOTS)).astype(np.uint16)
+    s[:, :4] = 7
+    began = time.perf_counter()
+    assert len(neardup.connect(np.arange(len(s)), s)[0]) == 0
+    assert time.perf_counter() - began < 60
+
+
+def test_hot_buckets_are_split_over_the_cluster(spark, monkeypatch):
+    s = bucket_of(np.random.default_rng(8), 300)
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(s)], "rid long, sig binary")
+    want = _joined(range(300), *np.nonzero(np.triu((s[:, None] != s[None]).sum(2) <= neardup.RADIUS, 1)))
+    for hot in (1 << 17, 20):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        e = neardup.edges(df).collect()
+        assert _joined(range(300), [r.a for r in e], [r.b for r in e]) == want
+
+
+def test_dedup_of_one_doc_id_with_different_texts(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, 5), (1, "another text altogether with words of its own", 5), (1, text, 5), (2, text + " more", 5)], "doc_id long, text string, sig int")
+    got = sorted((r.doc_id, r.text) for r in neardup.dedup(df).collect())
+    assert got == sorted([(1, text), (1, "another text altogether with words of its own")])
