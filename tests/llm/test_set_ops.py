@@ -122,6 +122,42 @@ def test_ann_edges(spark):
     assert [(r.neighbour, r.distance) for r in same] == [(0, 0.0), (1, 0.0), (2, 0.0)]
 
 
+def test_ann_asked_rows_blocks_and_names(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.standard_normal((300, 6)), 1)
+    x[100:200] = x[0]  # a third of all rows are equal
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1, 2) for i, r in enumerate(x)], "vec_id long, embedding array<float>, rid int, x int")
+    visits = []
+    got = ann.neighbours(df, k=4, cell=16, asked=F.col("vec_id") % 50 == 0, confidence=1 - 1e-12, visits=visits).collect()
+    y = x.astype(np.float32).astype(np.float64)
+    want = []
+    for i in range(0, 300, 50):
+        d = ((y - y[i]) ** 2).sum(1)
+        order = [j for j in np.lexsort((np.arange(300), d)) if j != i][:4]
+        want += [(i, n + 1, j, round(float(np.sqrt(d[j])), 9)) for n, j in enumerate(order)]
+    assert sorted((r.vec_id, r.rank, r.neighbour, round(r.distance, 9)) for r in got) == sorted(want)
+    assert len(visits) > 1 and visits[0][1] >= 6
+
+
+def test_ann_stops_before_the_end(spark):
+    """Where vectors lie in groups, queries visit a part of the cells and still find their neighbours."""
+    rng = np.random.default_rng(2)
+    x = (4 * rng.standard_normal((30, 12)))[rng.integers(0, 30, 3000)] + 0.3 * rng.standard_normal((3000, 12))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    visits = []
+    got = defaultdict(set)
+    for r in ann.neighbours(df, k=5, cell=32, asked=F.col("vec_id") % 50 == 0, visits=visits).collect():
+        got[r.vec_id].add(r.neighbour)
+    y, hit = x.astype(np.float32).astype(np.float64), 0
+    for i in range(0, 3000, 50):
+        d = ((y - y[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(got[i] & set(np.argsort(d)[:5].tolist()))
+    assert hit / 300 >= 0.9
+    assert sum(n for _, n in visits) < 60 * 128 / 2
+
+
 def test_chi_square():
     assert ann.chi2_cdf(ann.stop_ratio(0.9)) == pytest.approx(0.9)
     z = np.random.default_rng(0).standard_normal((100000, ann.DIM))
