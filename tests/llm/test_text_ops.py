@@ -436,3 +436,47 @@ def test_pii_long_runs_in_linear_time():
     for text in ("a." * 100_000 + "@", "a@" + "a-" * 100_000, "eyJ" + "a.." * 100_000, "f" * 200_000, "2001:" * 50_000):
         assert pii.spans(text) == []
     assert time.perf_counter() - began < 10
+
+
+def _scanned(texts, templates=licenses.TEMPLATES):
+    index = licenses.Index(templates)
+    h, _, _, first = licenses.words(pa.array(texts))
+    return index, h, first, licenses.reports(index, h, first)
+
+
+def test_licenses_against_all_templates():
+    """Every run of five words in common with any template is in a report; no report claims more than its span has; none overlap."""
+    rng = random.Random(11)
+    noise = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(60):
+        ws = []
+        for _ in range(rng.randrange(1, 5)):
+            t = rng.choice(licenses.TEMPLATES)[1].split()
+            a = rng.randrange(len(t))
+            part = t[a : a + rng.randrange(1, 40)]
+            ws += [w for w in part if rng.random() > 0.05] + rng.choices(noise, k=rng.randrange(0, 6))
+        texts.append(" ".join(ws))
+    index, h, first, got = _scanned(["", *texts, "w1"])
+    for d in range(len(first) - 1):
+        doc = h[first[d] : first[d + 1]].tolist()
+        mine = [(a - first[d], z - first[d], index.words[t].tolist(), m) for x, t, m, _, a, z in got if x == d]
+        for a, z, t, m in mine:
+            assert 0 <= a < z <= len(doc) and m <= lcs(t, doc[a:z])
+        spans = sorted(r[:2] for r in mine)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+        grams = {tuple(t[k : k + 5]) for t in map(list, index.words) for k in range(len(t) - 4)}
+        for k in range(len(doc) - 4):
+            if tuple(doc[k : k + 5]) in grams:
+                assert any(a < k + 5 and k < z for a, z, _, _ in mine)
+
+
+def test_licenses_of_repetitive_text_are_fast():
+    phrase = "permission is hereby granted to " + " ".join(f"x{i}" for i in range(3))
+    text = (phrase + " ") * 25_000
+    began = time.perf_counter()
+    _, _, _, got = _scanned([text])
+    assert time.perf_counter() - began < 10 and len(text) > 1_000_000
+    whole = licenses.TEMPLATES[1][1] + " . "
+    _, h, _, got = _scanned([whole * 200])
+    assert len(got) == 200 and {r[3] for r in got} == {1.0}
