@@ -20,8 +20,9 @@ Pages are read three times and never shuffled: what is shuffled are counts of
 styles, the features of leaves that two pages share, and one group of
 shared nodes for each host.  A hot host is counted by many tasks; only its merged tree is one group.
 
-Defined results: a null html gives null text, an empty one an empty text; script,
-style and comments never count.  Hosts are compared in lower case without port.
+Defined results: a null html gives null text, an empty one an empty text; script, style, noscript, template
+and comments never count.  A page is read whole, however long; an empty table gives no rows, and other columns are ignored, whatever
+their names.  Hosts are compared in lower case without port.
 A page without a host (null or malformed url) is merged with none and loses
 nothing.  Repeated pages count as pages each.  Broken markup is closed as
 browsers do it for paragraphs, list items and table cells; below ``DEEPEST``

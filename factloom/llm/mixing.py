@@ -7,7 +7,7 @@ parts p are inclusion probabilities of a fixed-size sample: documents are ranked
 by random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and the
 least ones are taken, so that a source has exactly its share.
 
-u comes from an MD5 of the document, so the sample is repeatable.  All counts are
+u comes from an MD5 of the doc_id (of the row's content without one), so the sample is repeatable; rows of one doc_id share their draw.  All counts are
 exact integers.  The rank of the last one taken is found without sorting a
 source: a histogram over ``BINS`` bins of the rank variable names the bin in which
 each source's cut lies, and only that bin's rows are ordered.  Texts are never
@@ -17,10 +17,10 @@ Default weights are proportional to the square root of a source's document
 count, which lifts small sources; preferences by language are a parameter.
 
 Defined results: a null source is a source of its own; a source named in the
-weights but absent gives nothing, and its share goes to the others; a source without a weight gets none. A null
-doc_id or repeated one is told apart by the row's content; fully equal rows are
+weights but absent gives nothing, and its share goes to the others; a source without a weight gets none. Equal ranks
+go by doc_id (nulls last), then by the row's content; fully equal rows are
 interchangeable.  An empty table gives an empty result.  A preference below 1 or
-null counts as 1.
+null counts as 1.  Null, empty and very long texts are rows like others; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations

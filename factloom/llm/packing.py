@@ -10,7 +10,8 @@ without a shuffle, of about ``BLOCK_IDS`` ids; a longer document has a block of
 The ids are those of operator 1, by its encoder.
 
 Defined results: a null text has no ids and is marked in ``nulls``; an empty one has none
-and isn't.  Repeated rows are packed each.  An empty table gives no block.  Ids
+and isn't.  Repeated rows are packed each; a text is packed whole, however long.  An empty table gives no block.  Columns besides
+``doc_id`` and ``text`` are ignored, whatever their names.  Ids
 that don't fit the width raise ValueError.
 """
 

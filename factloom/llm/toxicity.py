@@ -7,7 +7,7 @@ jointly (L-BFGS with weight decay, numpy) on windows of labelled documents.  A l
 document and not to its windows, so training starts from log ratios of document
 frequency and goes on, round by round, with the windows of toxic documents that
 the model finds more toxic than nearly all clean ones, against the worst windows of
-every clean document.  A fifth of each class is held out: it chooses the round and the threshold.
+every clean document.  A fifth of each class is held out: it chooses among the trained rounds, and the threshold.
 
 Scoring covers the whole text: a document's score is its most toxic window.
 The logit is linear in the words, so each distinct word is scored once and a
@@ -17,7 +17,8 @@ share most n-grams with their originals.
 Defined results: a null, empty or word-less text scores 0 and is never toxic; a
 labels table without both classes, or none, gives no model and nothing is
 toxic; repeated labels of a document count once, as toxic if any is; labels that
-are null are left out.  Repeated rows each get the same score.
+are null are left out.  Repeated rows each get the same score; of equally toxic windows the score is that of all.  A text is
+scored whole, however long; an empty table gives no rows.  Scoring keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -230,7 +231,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
         good, m.threshold = _cut(score(some, Scorer(m)), verdict)
         return good, m
 
-    best = model_of(theta)
+    best: tuple[float, Model] | None = None
     for _ in range(ROUNDS):
         emb, soft = theta[: DIM * len(used)].reshape(DIM, -1), theta[DIM * len(used) : -2].reshape(DIM, 2)
         v = np.bincount(gword, weights=((soft[:, 1] - soft[:, 0]) @ emb)[gram] * gvalue, minlength=len(at))
@@ -246,7 +247,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
         keep = np.flatnonzero(sure | ((y == 0) & ((rank < 3) | (nth == k[doc] // 2))))
         theta = _minimise(_joint(*bags(a[keep], b[keep], y[keep]), len(used)), theta, STEPS)
         new = model_of(theta)
-        if new[0] >= best[0]:  # a round that only memorises is not taken
+        if best is None or new[0] >= best[0]:  # a later round that only memorises is not taken
             best = new
     return best[1]
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import ann, mixing, neardup, pii, topk, toxicity
-from factloom.llm._text import words
+from factloom.llm._text import mix, words
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -408,3 +409,35 @@ def test_dedup_of_one_doc_id_with_different_texts(spark):
     df = spark.createDataFrame([(1, text, 5), (1, "another text altogether with words of its own", 5), (1, text, 5), (2, text + " more", 5)], "doc_id long, text string, sig int")
     got = sorted((r.doc_id, r.text) for r in neardup.dedup(df).collect())
     assert got == sorted([(1, text), (1, "another text altogether with words of its own")])
+
+
+def test_toxicity_against_a_naive_scorer():
+    """Every window of a text by loops over its words and their n-grams."""
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.standard_normal(toxicity.BUCKETS).astype(np.float32), -0.3, 0.5)
+
+    def naive(text):
+        ws = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+        value = []
+        for w in ws:
+            c = [1, *(b + 2 for b in w.encode()), 1]
+            grams = []
+            for n in toxicity.NGRAMS:
+                for i in range(len(c) - n + 1):
+                    h = 0
+                    for k, x in enumerate(c[i : i + n]):
+                        h = x if k == 0 else (h * 1_000_003 + x) % (1 << 64)
+                    grams.append(int(mix(np.array([(h + n) % (1 << 64)], np.uint64))[0]) % toxicity.BUCKETS)
+            value.append(float(np.mean([model.grams[g] for g in grams])))
+        if not ws:
+            return 0.0
+        size = toxicity.WINDOW
+        starts = sorted({min(i, max(0, len(ws) - size)) for i in range(0, max(1, len(ws) - size + toxicity.STRIDE), toxicity.STRIDE)})
+        z = max(float(np.mean(value[i : i + size])) for i in starts) + model.bias
+        return 1 / (1 + math.exp(-z))
+
+    words_ = ["a", "übel", "idiot", "1d10t", "世界", "the", "x" * 30, "don't"]
+    r = random.Random(4)
+    texts = [None, "", "...", "one", *[" ".join(r.choices(words_, k=r.randrange(1, 60))) for _ in range(60)]]
+    got = toxicity.score(pa.array(texts), toxicity.Scorer(model))
+    assert np.allclose(got, [naive(t) for t in texts], atol=1e-5)
