@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from factloom.llm import ann, mixing, neardup, pii, topk, toxicity
@@ -321,8 +322,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     w = {s: math.floor(math.sqrt(c) * 1e6) for s, c in n.items()}
     assert sum(out.values()) == len(masked)
     assert all(abs(out[s] - len(masked) * w[s] / sum(w.values())) < 1 for s in n)
-    enc = bpe.encoder(bpe.read_vocabulary())
-    ids = {d: enc.encode(pa.array([t], pa.string())).to_pylist()[0] for d, t, *_ in masked}
+    plain = tiktoken.Encoding("p", pat_str=bpe.PATTERN, mergeable_ranks=bpe.vocabulary(bpe.read_vocabulary()).ranks, special_tokens={})
+    ids = {d: None if t is None else plain.encode_ordinary(t) for d, t, *_ in masked}
     assert {x.doc_id for x in got} <= set(ids) and all(x.token_ids == ids[x.doc_id] for x in got)
     assert C.STAGES[1][0] == "near_dedup" and [s[0] for s in C.STAGES] == ["toxicity", "near_dedup", "pii", "mixing", "bpe"]
     docs_ = spark.createDataFrame(rows, KINDS)
@@ -330,6 +331,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert stage(spark, docs_, str(tmp_path)).columns == docs_.columns
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns."""
+    import corpus_pipeline as C
+
+    long = " ".join(f"w{i % 977}x{i}" for i in range(150_000))
+    rows = [(1, "some words of a text", "en", "s", 4, 1, 2), (1, "some words of a text", "en", "s", 4, 1, 2), (2, None, "en", "s", None, 1, 2), (None, "another text without an id", None, None, None, None, None), (3, "", "en", "s", 0, 1, 2), (4, "", "de", "s", 0, 1, 2), (5, long, "en", "t", len(long), 1, 2), (6, None, None, None, None, None, None)]
+    kinds = KINDS + ", sig int, rid int"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_ = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs_, str(tmp_path))
+        assert out.columns == docs_.columns
+        if name != "mixing":
+            assert out.count() == (6 if name == "near_dedup" else 8), name
+    got = C.run(spark, str(tmp_path)).collect()
+    assert len(got) == 6 and {r.doc_id for r in got} <= {1, 2, 3, 5, 6, None}
+    assert all(r.token_ids is None for r in got if r.doc_id in (2, 6)) and all(r.n_tokens == 0 for r in got if r.doc_id == 3)
+    assert all(r.n_tokens > 150_000 for r in got if r.doc_id == 5)
+
+
 def test_empty_corpus(spark, tmp_path):
     import corpus_pipeline as C
 
