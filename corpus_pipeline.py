@@ -11,6 +11,14 @@ stage's result as Parquet in the cluster's shared folder and reads it again.
   of small sources' documents and a sample of large ones';
 * token ids encodes the texts: (doc_id, lang, source, n_tokens, token_ids).
 
+A stage's copy goes once the next one's is written, the last one's when the driver ends.
+
+Defined results: a null text is never toxic, a duplicate or changed, and has null ids; an empty text has no ids, and only one row of
+those without a word and equal text stays.  Of fully equal rows one stays.  Of equal documents the one of least doc_id stays, nulls
+last.  Texts are worked on whole, however long.  Rows that are null in any column pass; a null source is a source of its own.  Further
+columns of ``documents``, whatever their names, go along to the last stage.  An empty table gives an empty result; without labels of
+both classes nothing is toxic.
+
 SQL can't express training, signatures or encoding, so there is no SQL twin;
 tests compare the run with brute-force versions.
 """
@@ -22,7 +30,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import bpe, mixing, neardup, pii, toxicity
-from factloom.llm._util import documents, shared_folder
+from factloom.llm._util import documents, remove, shared_folder, until_exit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +59,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; the last one's rows."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    folder = until_exit(spark, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before is not None:
+            remove(spark, before)
+        before = at
     return docs
