@@ -113,6 +113,17 @@ class Beliefs:
     def reset(self) -> None:
         self.beliefs, self.aggregates, self._sites = [], [], {}
 
+    def activate(self, definitions: list[dict], classifier: Callable[[str], Callable[[], DataFrame]]) -> list[str]:
+        """Define beliefs from committed definitions (name, source, threshold), ``classifier`` making a source's sites; names that exist are left alone."""
+        known, added = {b.name for b in self.beliefs}, []
+        for d in definitions:
+            if d["name"] not in known:
+                n, m, least = d.get("threshold", (1, 2, 3))
+                self.define(Belief(d["name"], classifier(d["source"]), (n, m), least, d["source"]))
+                known.add(d["name"])
+                added.append(d["name"])
+        return added
+
     @contextmanager
     def scope(self):
         """Registries as they were, afterwards, whatever happens inside."""
@@ -196,8 +207,11 @@ def paired_with(sites: DataFrame, ops: DataFrame, second: str) -> DataFrame:
     return sites.join(g, "func", "left").select(F.col("func").alias("site"), F.when(F.col("d"), "paired-defer").when(F.col("d").isNotNull(), "paired-call").otherwise("unpaired").alias("category"))
 
 
-def ordered(sites: DataFrame, ops: DataFrame, a: str, b: str, blocks: DataFrame | None = None) -> DataFrame:
-    """Which of the first calls comes first: by position within a block, by dominance (func, node, dominator) between blocks."""
+def ordered(sites: DataFrame, ops: DataFrame, a: str, b: str, blocks: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
+    """Which of the first calls comes first: by position within a block, by dominance (func, node, dominator) between blocks.
+
+    Functions in ``broken`` (func; :func:`.kernels.broken_dominance`) whose calls are in different blocks are malformed-ssa.
+    """
     first = lambda x: F.min(F.when(F.col("op") == x, F.struct("block", "ord")))
     ops = ops if "block" in ops.columns else ops.withColumn("block", F.lit(0))
     g = ops.groupBy("func").agg(first(a).alias("a"), first(b).alias("b"))
@@ -209,18 +223,27 @@ def ordered(sites: DataFrame, ops: DataFrame, a: str, b: str, blocks: DataFrame
             x = blocks.select(F.col("func").alias("f"), F.col("node").alias("n"), F.col("dominator").alias("m"), F.lit(True).alias(name))
             t = t.join(x, (F.col("func") == F.col("f")) & (F.col(f"{lo}.block") == F.col("m")) & (F.col(f"{hi}.block") == F.col("n")), "left").drop("f", "n", "m")
         ab, ba = _sure(F.col("ab")), _sure(F.col("ba"))
-    cat = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(same & (F.col("a.ord") <= F.col("b.ord")) | ~same & ab, "a-dominates-b").when(same | ba, "b-dominates-a").otherwise("unordered")
+    t, bad = _malformed(t, broken)
+    cat = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(bad & ~same, "malformed-ssa").when(same & (F.col("a.ord") <= F.col("b.ord")) | ~same & ab, "a-dominates-b").when(same | ba, "b-dominates-a").otherwise("unordered")
     return t.select(F.col("func").alias("site"), cat.alias("category"))
 
 
-def dominates_call(sites: DataFrame, ops: DataFrame, dominance: DataFrame, a: str, b: str) -> DataFrame:
-    """Whether every block (func, block) that calls ``b`` is dominated (func, node, dominator) by one that calls ``a``."""
+def _malformed(sites: DataFrame, broken: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Sites with whether their function's dominator tree is broken."""
+    if broken is None:
+        return sites, F.lit(False)
+    return sites.join(broken.select("func").distinct().withColumn("bad", F.lit(True)), "func", "left"), _sure(F.col("bad"))
+
+
+def dominates_call(sites: DataFrame, ops: DataFrame, dominance: DataFrame, a: str, b: str, broken: DataFrame | None = None) -> DataFrame:
+    """Whether every block (func, block) that calls ``b`` is dominated (func, node, dominator) by one that calls ``a``; malformed-ssa for ``broken`` (func)."""
     ab = ops.where(F.col("op") == a).select("func", F.col("block").alias("dominator")).distinct()
     bb = ops.where(F.col("op") == b).select("func", F.col("block").alias("node")).distinct()
     good = bb.join(dominance, ["func", "node"]).join(ab, ["func", "dominator"], "left_semi").select("func", "node").distinct().withColumn("ok", F.lit(1))
     g = bb.join(good, ["func", "node"], "left").groupBy("func").agg(F.count(F.lit(1)).alias("nb"), F.count("ok").alias("ok"))
     t = sites.join(g, "func", "left").join(ab.select("func").distinct().withColumn("has", F.lit(True)), "func", "left")
-    cat = F.when(F.col("nb").isNull() | F.col("has").isNull(), "missing").when(F.col("ok") == F.col("nb"), "dominates-all").when(F.col("ok") > 0, "partial").otherwise("none")
+    t, bad = _malformed(t, broken)
+    cat = F.when(F.col("nb").isNull() | F.col("has").isNull(), "missing").when(bad, "malformed-ssa").when(F.col("ok") == F.col("nb"), "dominates-all").when(F.col("ok") > 0, "partial").otherwise("none")
     return t.select(F.col("func").alias("site"), cat.alias("category"))
 
 

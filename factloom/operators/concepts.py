@@ -330,3 +330,84 @@ def locality(same_pkg: Column, callers_a: str, callers_b: str) -> Column:
 
 def new_edges(callers_a: str, callers_b: str) -> Column:
     return F.size(F.array_union(callers_a, callers_b))
+
+
+def creates_cycle(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with whether merging the two closes a cycle: one of them reaches the other."""
+    from . import paths
+
+    p = checkpointed(pairs)
+    ends = p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
+    reach = checkpointed(paths.reachable(edges, ends).where("root <> node"))
+    hit = p.select("a", "b").join(reach.select(F.col("root").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_semi")
+    back = p.select("a", "b").join(reach.select(F.col("root").alias("b"), F.col("node").alias("a")), ["a", "b"], "left_semi")
+    both = hit.union(back.select("a", "b")).distinct().withColumn("creates_cycle", F.lit(True))
+    return p.join(both, ["a", "b"], "left").withColumn("creates_cycle", F.coalesce("creates_cycle", F.lit(False)))
+
+
+# Lattice structure
+
+
+def meets(found: DataFrame) -> DataFrame:
+    """(a, b, join_intent, meet_intent) of every pair of concepts, by intent: the least concept over both and the greatest under both."""
+    a = found.select(F.col("intent").alias("a"))
+    b = found.select(F.col("intent").alias("b"))
+    c = found.select(F.col("intent").alias("c"))
+    p = a.crossJoin(b)
+    under = p.join(c, subset("a", "c") & subset("b", "c")).groupBy("a", "b").agg(F.min_by("c", F.struct(F.size("c"), F.array_join("c", ","))).alias("meet_intent"))
+    return under.select("a", "b", F.array_sort(F.array_intersect("a", "b")).alias("join_intent"), "meet_intent")
+
+
+def depths(found: DataFrame) -> DataFrame:
+    """(intent, depth): length of the longest chain of concepts from the top down to each."""
+    from ..plans.fixpoint import settle
+
+    name = F.array_join("intent", ",")
+    c = checkpointed(found.select(name.alias("node"), "intent"))
+    over = c.alias("x").join(c.alias("y"), subset("x.intent", "y.intent") & (F.size("x.intent") < F.size("y.intent"))).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst"))
+    over = checkpointed(over)
+    deep = settle(c.select("node", F.lit(0).cast("long").alias("depth")), ["node"], "depth", lambda f: f.join(over, f.node == over.src).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")), F.max)
+    return c.join(deep, "node").select("intent", "depth")
+
+
+def signature(found: DataFrame) -> DataFrame:
+    """(object, intents): the concepts that each object belongs to, by their intents."""
+    return found.select(F.explode("extent").alias("object"), F.array_join("intent", ",").alias("intent")).groupBy("object").agg(F.sort_array(F.collect_list("intent")).alias("intents"))
+
+
+def without_cross_flow(candidates: DataFrame, flows: DataFrame) -> DataFrame:
+    """Split candidates (func, ...) with whether no value of one side's fields flows to a store of the other's: ``flows`` (func) has those that do."""
+    crossing = flows.select("func").distinct().withColumn("no_cross_flow", F.lit(False))
+    return candidates.join(crossing, "func", "left").withColumn("no_cross_flow", F.coalesce("no_cross_flow", F.lit(True)))
+
+
+def cross_flows(loads: DataFrame, stores: DataFrame, edges: DataFrame, fuel: int = 10) -> DataFrame:
+    """(func, source, target): structs of one of which a load (func, node, struct) reaches a store (func, node, struct) of another in ``fuel`` def-use steps (func, src, dst)."""
+    e = edges.select(F.col("func").alias("f"), "src", "dst").distinct()
+    seed = loads.select("func", F.col("struct").alias("source"), "node")
+    reach = grow(seed, lambda x: x.join(e, (x.func == e.f) & (x.node == e.src)).select("func", "source", F.col("dst").alias("node")), fuel)
+    return reach.join(stores.select("func", "node", F.col("struct").alias("target")), ["func", "node"]).where("source <> target").select("func", "source", "target").distinct()
+
+
+def single_cluster(ctx: DataFrame, refs: DataFrame, max_attributes: int = 30) -> DataFrame:
+    """(verdict, confidence, functions): SPLIT if a split can be recommended with HIGH or MEDIUM confidence, else COHESIVE; for aggregate beliefs."""
+    r = recommend_split(ctx, refs, max_attributes)
+    return r.select(F.when(F.col("confidence").isin("HIGH", "MEDIUM"), "SPLIT").otherwise("COHESIVE").alias("verdict"), "confidence", "functions")
+
+
+def split_findings(sides: DataFrame, positions: DataFrame) -> DataFrame:
+    """(finding): each function (object) on side a or b of a split, at its place (func, pos)."""
+    from .findings import finding
+
+    where = positions.groupBy(F.col("func").alias("object")).agg(F.max("pos").alias("pos"))
+    t = sides.where("side IN ('a', 'b')").join(where, "object", "left")
+    return t.select(finding(F.col("object"), F.col("pos"), "split-group", {"side": F.col("side")}).alias("finding"))
+
+
+def pair_findings(pairs: DataFrame, positions: DataFrame) -> DataFrame:
+    """(finding): each side of scored pairs (a, b, tier, similarity), at its place, with its other side."""
+    from .findings import finding
+
+    where = positions.groupBy("func").agg(F.max("pos").alias("pos"))
+    both = pairs.select(F.col("a").alias("func"), F.col("b").alias("other"), "tier", "similarity").union(pairs.select("b", "a", "tier", "similarity"))
+    return both.join(where, "func", "left").select(finding(F.col("func"), F.col("pos"), "duplicate", {"other": F.col("other"), "tier": F.col("tier")}, F.col("similarity")).alias("finding"))

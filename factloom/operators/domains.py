@@ -181,6 +181,38 @@ def condition(text: str):
     return either()
 
 
+RULES = ("identity", "annihilation", "idempotence", "absorption", "associativity", "commutative")
+_COMMUTES = ("+", "*", "&", "|", "^")
+
+
+def normal_term(t, rules: tuple[str, ...] = RULES):
+    """Normal form of an integer term, a name, a number or (op, x, y), by the chosen rules: x & (x | y) is x, sums and products are flat and in order."""
+    if not isinstance(t, tuple):
+        return t
+    op, *args = t
+    args = [normal_term(a, rules) for a in args]
+    if "associativity" in rules and op in _COMMUTES:
+        args = [b for a in args for b in (a[1:] if isinstance(a, tuple) and a[0] == op else (a,))]
+    if "annihilation" in rules and op in ("*", "&") and 0 in args:
+        return 0
+    if "identity" in rules:
+        unit = {"+": 0, "|": 0, "^": 0, "*": 1}.get(op)
+        if unit is not None:
+            args = [a for a in args if a != unit or isinstance(a, bool)] or [unit]
+        elif op == "-" and len(args) == 2 and args[1] == 0:
+            return args[0]
+    if "idempotence" in rules and op in ("&", "|"):
+        args = list(dict.fromkeys(args))
+    if "absorption" in rules and op in ("&", "|"):
+        other = "|" if op == "&" else "&"
+        args = [a for a in args if not (isinstance(a, tuple) and a[0] == other and any(b in a[1:] for b in args if b is not a))]
+    if len(args) == 1 and op in _COMMUTES:
+        return args[0]
+    if "commutative" in rules and op in (*_COMMUTES, "==", "!="):
+        args.sort(key=repr)
+    return (op, *args)
+
+
 def solve(blocks: dict[int, list[int]], transfer, join, bottom, entry=None, start: int = 0, widening=None, patience: int = 3) -> dict[int, tuple]:
     """Worklist solution {block: (in, out)} for successor lists; ``widening`` applies after ``patience`` visits of a block."""
     before: dict = {b: [] for b in blocks}

@@ -86,6 +86,22 @@ def dispatch_sites(edges: DataFrame, site: list[str], candidate: str = "candidat
     return g.select(*site, "n", cls.alias("class"), F.when(F.col("n") <= k, "full").otherwise("elided").alias("detail"), F.when(F.col("n") <= k, F.col("candidates")).alias("candidates"))
 
 
+REFLECTION = ("reflect.", "unsafe.")
+
+
+def dispatch_details(sites: DataFrame, edges: DataFrame, site: list[str], scope: DataFrame) -> DataFrame:
+    """``sites`` with iface, method, iface_exported, synthetic_caller and reflection_in_scope.
+
+    ``edges`` (site..., iface, method, caller_synthetic) describe the calls; ``scope`` (name) are all nodes, of which one of reflect or unsafe sets the flag for all sites.
+    """
+    d = edges.groupBy(*site).agg(F.min("iface").alias("iface"), F.min("method").alias("method"), F.max(F.coalesce("caller_synthetic", F.lit(False))).alias("synthetic_caller"))
+    hit = F.lit(False)
+    for r in REFLECTION:
+        hit = hit | F.coalesce(F.col("name").startswith(r), F.lit(False))
+    flag = scope.agg(F.coalesce(F.max(hit), F.lit(False)).alias("reflection_in_scope"))
+    return sites.join(d, site, "left").withColumn("iface_exported", exported("iface")).crossJoin(F.broadcast(flag))
+
+
 def narrowed_from(sites: DataFrame, wide: DataFrame, site: list[str], candidate: str = "candidate") -> DataFrame:
     """``sites`` with the number of candidates in the wider graph; NULL, not 0, where it has none."""
     return sites.join(wide.groupBy(*site).agg(F.countDistinct(candidate).alias("narrowed_from")), site, "left")

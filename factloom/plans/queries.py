@@ -14,6 +14,8 @@ from ..operators import findings as N
 from ..operators import flows as W
 from ..operators import kernels as K
 from ..operators import paths as P
+from ..operators import sites as S
+from ..operators import ssa as V
 from ..operators import trees as T
 from .bindings import ACCESS, BLOCKS, CONCEPTS, FLOWS, GRAPH, REFERENCES, SEGMENTS, SEQUENCES, SITES, VERDICT, Tables, access, blocks, circuit, control, flows, hierarchy, order_sites, references, segments, sequences
 from .fixpoint import checkpointed
@@ -619,6 +621,129 @@ def narrow_types(t):
     return W.narrow(checkpointed(hierarchy(t).union(back)), ends).withColumn("types", joined("types"))
 
 
+# sites: orders as methods of their customers, named by their priority
+
+
+def _functions(t: Tables) -> DataFrame:
+    return t.orders.select(_id("O", "o_orderkey").alias("func"), F.col("o_orderpriority").alias("short_name"), F.col("o_orderstatus").alias("pkg"), _id("*C", "o_custkey").alias("recv_type"))
+
+
+def _interface(t: Tables) -> tuple[DataFrame, DataFrame]:
+    methods = t.orders.select(_id("C", "o_custkey").alias("type"), F.col("o_orderpriority").alias("method")).distinct()
+    return methods, t.spark.createDataFrame([("Hurried", "p", "1-URGENT"), ("Hurried", "p", "2-HIGH")], "iface string, pkg string, method string")
+
+
+_HURRIED = "hu AS (SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 2)"
+
+
+@query("SELECT DISTINCT 'O' || l_orderkey AS func FROM lineitem WHERE l_partkey = 7")
+def sites_callers_of(t):
+    return S.callers_of(_functions(t), hierarchy(t), "P7").select("func")
+
+
+@query("SELECT 'O' || o_orderkey AS func FROM orders WHERE CAST(o_custkey AS VARCHAR) LIKE '%77%' AND o_orderstatus = 'F'")
+def sites_methods_of(t):
+    return S.all_functions_in(S.functions_matching(_functions(t), F.col("recv_type").rlike("^.C[0-9]*77")), "F").select("func")
+
+
+@query(f"WITH {_HURRIED} SELECT 'C' || o_custkey AS impl_type, 'O' || o_orderkey AS func FROM orders JOIN hu USING (o_custkey)")
+def sites_implementors_of(t):
+    return S.implementors_of(_functions(t), *_interface(t), "Hurried").select("impl_type", "func")
+
+
+@query(f"WITH {_HURRIED} SELECT 'C' || o_custkey AS impl_type, 'O' || o_orderkey AS func, o_orderpriority AS short_name FROM orders JOIN hu USING (o_custkey) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def sites_interface_methods(t):
+    return S.interface_methods(_functions(t), *_interface(t), "p.Hurried").select("impl_type", "func", "short_name")
+
+
+# instructions: an order's open lines make values of their part's type, its finished ones are parameters, and one phi joins them
+
+_OPEN = "op AS (SELECT l_orderkey, p_type, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_INS = "func string, block int, ord int, tag string, name string, concrete string, type string, operands array<string>, callee string, method string, recv string, addr string, val string, struct string, field string, pos string"
+
+
+def _program(t: Tables) -> DataFrame:
+    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    name = F.concat_ws("_", F.lit("v"), "l_linenumber", "l_partkey", "l_linestatus")
+    made = F.col("l_linestatus") == "O"
+    own = line.select(_id("O", "l_orderkey").alias("func"), F.when(made, "ssa-make-interface").otherwise("ssa-param").alias("tag"), name.alias("name"), F.when(made, F.col("p_type")).alias("concrete")).distinct()
+    phi = own.groupBy("func").agg(F.sort_array(F.collect_set("name")).alias("operands")).select("func", F.lit("ssa-phi").alias("tag"), F.lit("r").alias("name"), "operands")
+    call = phi.select("func", F.lit("ssa-call").alias("tag"), F.lit("ship").alias("method"), F.lit("r").alias("recv"), F.concat("func", F.lit(":1")).alias("pos"))
+    empty = t.spark.createDataFrame([], _INS)
+    return empty.unionByName(own, True).unionByName(phi, True).unionByName(call, True)
+
+
+@query(f"WITH {_OPEN} SELECT 'O' || l_orderkey AS func, CASE WHEN bool_or(l_linestatus <> 'O') THEN 'widened' ELSE 'narrow' END AS confidence, coalesce(array_to_string(list_sort(list_distinct(list(p_type) FILTER (l_linestatus = 'O'))), ','), '') AS types, CASE WHEN bool_or(l_linestatus <> 'O') THEN 'parameter' ELSE '' END AS reasons FROM op GROUP BY l_orderkey")
+def narrow_values(t):
+    ins = checkpointed(_program(t))
+    facts = V.narrow_facts(ins, t.spark.createDataFrame([], "func string, val string"), t.spark.createDataFrame([], "iface string, type string"))
+    out = V.narrow_values(*facts).where(F.col("node").endswith("::r"))
+    return out.select(F.substring_index("node", "::", 1).alias("func"), "confidence", joined("types"), joined("reasons"))
+
+
+@query(f"WITH {_OPEN} SELECT DISTINCT 'O' || l_orderkey AS src, p_type || '.ship' AS dst, 'O' || l_orderkey || ':1' AS pos FROM op WHERE l_linestatus = 'O'")
+def vta_calls(t):
+    ins = checkpointed(_program(t))
+    copies = ins.where("tag = 'ssa-phi'").select("func", F.explode("operands").alias("o"), "name").select(V.value("func", "o").alias("src"), V.value("func", "name").alias("dst"))
+    return V.vta_calls(ins, copies)
+
+
+@query(
+    """WITH sl AS (SELECT l_orderkey, l_linenumber, count(*) AS n, any_value(l_suppkey) AS one FROM lineitem GROUP BY 1, 2)
+SELECT DISTINCT 'O' || l.l_orderkey AS src, 'S' || l.l_suppkey AS dst, 'O' || l.l_orderkey || ':' || l.l_linenumber AS pos FROM lineitem l JOIN sl USING (l_orderkey, l_linenumber) JOIN orders ON o_orderkey = l.l_orderkey WHERE (n = 1 AND o_orderstatus <> 'P') OR l.l_suppkey % 2 = 0"""
+)
+def precise_calls(t):
+    """Slots of an order's table hold its suppliers; where a slot is stored to twice or the order is partial, the wider graph decides, which knows even suppliers."""
+    line = t.lineitem.select(_id("O", "l_orderkey").alias("func"), F.col("l_linenumber").cast("string").alias("field"), _id("S", "l_suppkey").alias("callee"), "l_suppkey")
+    pos = F.concat_ws(":", "func", "field")
+    stores = line.select("func", F.lit("ssa-store").alias("tag"), F.lit("t").alias("addr"), "field", "callee")
+    calls = line.select("func", "field").distinct().select("func", F.lit("ssa-call").alias("tag"), F.lit("t").alias("addr"), "field", pos.alias("pos"))
+    gone = t.orders.where("o_orderstatus = 'P'").select(_id("O", "o_orderkey").alias("func"), F.lit("ssa-escape").alias("tag"), F.lit("t").alias("addr"))
+    ins = t.spark.createDataFrame([], _INS).unionByName(stores, True).unionByName(calls, True).unionByName(gone, True)
+    rest = line.where("l_suppkey % 2 = 0").select(F.col("func").alias("src"), F.col("callee").alias("dst"), pos.alias("pos"))
+    return V.precise_calls(checkpointed(ins), rest).distinct()
+
+
+_FORM = "fm AS (SELECT l_orderkey, string_agg(least(l_returnflag, l_linestatus) || greatest(l_returnflag, l_linestatus), ';' ORDER BY l_linenumber, least(l_returnflag, l_linestatus) || greatest(l_returnflag, l_linestatus)) AS form FROM lineitem GROUP BY 1), nx AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders)"
+
+
+@query(f"WITH {_FORM} SELECT a, b, coalesce(x.form = y.form, false) AS equivalent FROM nx LEFT JOIN fm x ON x.l_orderkey = a LEFT JOIN fm y ON y.l_orderkey = b WHERE b IS NOT NULL")
+def ssa_equivalent(t):
+    """Consecutive orders whose lines add the same flags, in whatever order of operands."""
+    f = D.normalize(F.lit("+"), F.col("l_returnflag"), F.col("l_linestatus"), F.lit(False))
+    forms = t.lineitem.select(F.col("l_orderkey").alias("func"), F.lit(0).alias("block"), F.col("l_linenumber").alias("ord"), F.concat(f["x"], f["y"]).alias("form"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    pairs = t.orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b IS NOT NULL")
+    return V.equivalent(pairs, forms)
+
+
+@query("SELECT 'C' || c_custkey AS a, 'P' || p_partkey AS b, EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_partkey = p_partkey) AS creates_cycle FROM customer JOIN part ON c_custkey = p_partkey")
+def creates_cycle(t):
+    """Whether a customer comes to the part of the same number."""
+    pairs = t.customer.join(t.part, F.col("c_custkey") == F.col("p_partkey")).select(_id("C", "c_custkey").alias("a"), _id("P", "p_partkey").alias("b"))
+    d = hierarchy(t).where(F.substring("src", 1, 1).isin("C", "O"))
+    return C.creates_cycle(pairs, checkpointed(d))
+
+
+@query(f"{_K}, dp AS (SELECT mask, 0 AS depth FROM c UNION SELECT b.mask, depth + 1 FROM dp a JOIN c b ON a.mask <> b.mask AND b.mask & a.mask = a.mask) SELECT array_to_string(intent, ',') AS intent, CAST(max(depth) AS BIGINT) AS depth FROM dp JOIN c USING (mask) GROUP BY ALL")
+def lattice_depth(t):
+    return C.depths(_lattice(t)).withColumn("intent", joined("intent"))
+
+
+@query(
+    f"""{_K}, xy AS (SELECT x.intent AS a, y.intent AS b, x.mask & y.mask AS lo, x.mask | y.mask AS hi FROM c x, c y), mt AS (SELECT a, b, lo, arg_min(z.intent, z.n_attrs) AS meet FROM xy JOIN c z ON z.mask & hi = hi GROUP BY a, b, lo)
+SELECT array_to_string(a, ',') AS a, array_to_string(b, ',') AS b, array_to_string(c.intent, ',') AS join_intent, array_to_string(meet, ',') AS meet_intent FROM mt JOIN c ON c.mask = lo"""
+)
+def lattice_algebra(t):
+    m = C.meets(_lattice(t))
+    return m.select(joined("a"), joined("b"), joined("join_intent"), joined("meet_intent"))
+
+
+@query(f"{_K} SELECT object, array_to_string(list_sort(list(array_to_string(intent, ','))), ';') AS intents FROM (SELECT unnest(extent) AS object, intent FROM c) GROUP BY object")
+def concept_signature(t):
+    return C.signature(_lattice(t)).select("object", F.array_join("intents", ";").alias("intents"))
+
+
 # trees: consecutive orders of a customer, as trees of fields and lists of lines
 
 _LINE = "(SELECT *, 'order/lines/' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity) - 1) AS spot FROM lineitem)"

@@ -57,6 +57,14 @@ class FactCatalog:
         best = e.agg(F.min("rank").alias("least"))
         return e.join(F.broadcast(best), F.col("rank") == F.col("least")).drop("rank", "least")
 
+    def views(self, prefix: str = "") -> list[str]:
+        """Temporary views of all fact tables for SQL, by the names given back."""
+        names = []
+        for name in SCHEMAS:
+            self.table(name).createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
     def save(self, folder: str) -> None:
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
