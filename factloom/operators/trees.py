@@ -6,7 +6,7 @@ root's path being the first step of all others; inner rows may be left out, then
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WEIGHTS = {"type-name": 1, "derived-type": 0, "literal-value": 1, "identifier": 0, "register": 0, "operator": 2, "call-target": 3, "structural": 100, "missing-field": 50, "extra-field": 50, "extra-element": 50}
@@ -84,12 +84,13 @@ def tree_diff(pairs: DataFrame, leaves: DataFrame, strings=None) -> DataFrame:
         .when(kind.isin("int", "float", "bool"), "literal-value")
         .otherwise(text)
     )
-    t = t.select("a", "b", "path", cat.alias("category"), F.col("l.value").alias("left"), F.col("r.value").alias("right"), F.coalesce(kind, F.col("r.vtype")).isin("node", "list").alias("inner"))
-    # the inner rows of a pair below which nothing is compared; a pair's trees bound their number
-    stop = F.when(F.col("inner") & ~F.col("category").isin("shared", "list"), F.concat("path", F.lit("/")))
-    t = t.withColumn("stops", F.collect_set(stop).over(Window.partitionBy("a", "b")))
-    below = F.exists("stops", lambda s: F.startswith(F.col("path"), s))
-    return t.where(~below & (F.col("category") != "list")).select("a", "b", "path", "category", "left", "right")
+    row = F.struct("path", cat.alias("category"), F.col("l.value").alias("left"), F.col("r.value").alias("right"), F.coalesce(kind, F.col("r.vtype")).isin("node", "list").alias("inner"))
+    # one row for a pair, which its trees bound, to leave out what is below a difference of inner rows
+    g = t.select("a", "b", row.alias("row")).groupBy("a", "b").agg(F.collect_list("row").alias("rows"))
+    stops = F.transform(F.filter("rows", lambda x: x["inner"] & ~x["category"].isin("shared", "list")), lambda x: F.concat(x["path"], F.lit("/")))
+    g = g.withColumn("stops", stops)
+    left = F.filter("rows", lambda x: (x["category"] != "list") & ~F.exists("stops", lambda s: F.startswith(x["path"], s)))
+    return g.select("a", "b", F.explode(left).alias("x")).select("a", "b", "x.path", "x.category", "x.left", "x.right")
 
 
 def root_substitutions(pairs: Column) -> Column:
