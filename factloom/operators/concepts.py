@@ -287,6 +287,10 @@ def duplicate_pairs(items: DataFrame, by: DataFrame) -> DataFrame:
     return k.alias("x").join(k.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
 
 
+#: Items of a key beyond which it is compared by sizes.
+FREQUENT = 1000
+
+
 def similar_sets(by: DataFrame, least: tuple[int, int] = (2, 5)) -> DataFrame:
     """(a, b, similarity, same): items (item, key) whose sets of keys have a Jaccard similarity of at least the fraction ``least``.
 
@@ -297,23 +301,35 @@ def similar_sets(by: DataFrame, least: tuple[int, int] = (2, 5)) -> DataFrame:
     """
     p, q = least
     k = checkpointed(by.select("item", "key").where("item IS NOT NULL AND key IS NOT NULL").distinct())
+    # keys as numbers in order of rarity: sets of them are short, and the first frequent one tells all others
     n = k.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sets = k.join(n, "key").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    sets = checkpointed(sets)
-    sets = checkpointed(sets.join(sets.groupBy("keys").agg(F.min("item").alias("first")), "keys"))
+    ids = checkpointed(n.orderBy("n", "key").select("key", "n", F.monotonically_increasing_id().alias("id")))
+    hot = ids.agg(F.coalesce(F.min(F.when(F.col("n") > FREQUENT, F.col("id"))), F.lit(2**62)).alias("hot"))
+    sets = k.join(ids.select("key", "id"), "key").groupBy("item").agg(F.array_sort(F.collect_list("id")).alias("keys"))
+    sets = checkpointed(sets.withColumn("first", F.min("item").over(Window.partitionBy("keys"))))
     same = sets.where("item <> first").select(F.col("first").alias("a"), F.col("item").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("same"))
     own = sets.where("item = first").select("item", "keys", F.size("keys").alias("size"))
     sizes = own.select("size").distinct().agg(F.sort_array(F.collect_list("size")).alias("sizes"))
     overlap = lambda m: F.ceil((F.col("size") + m) * p / (p + q))
-    # a row for each other size that a similar set may have, and each key of the prefix for it
-    other = own.crossJoin(F.broadcast(sizes)).select("item", "keys", "size", F.explode(F.filter("sizes", lambda m: (m * q >= F.col("size") * p) & (F.col("size") * q >= m * p))).alias("other"))
-    mark = other.select("item", "keys", "size", "other", F.explode(F.slice("keys", F.lit(1), (F.col("size") - overlap(F.col("other")) + 1).cast("int"))).alias("mark"))
+    # a row for each key of the longest prefix, which the least similar size asks for; of a frequent key one for each other size
+    others = F.filter("sizes", lambda m: (m * q >= F.col("size") * p) & (F.col("size") * q >= m * p))
+    head = own.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(hot)).withColumn("others", others)
+    head = head.withColumn("prefix", F.slice("keys", F.lit(1), (F.col("size") - overlap(F.get("others", F.lit(0))) + 1).cast("int")))
+    head = head.select("item", "keys", "size", "hot", "others", F.posexplode("prefix").alias("at", "mark"))
+    wanted = F.filter("others", lambda m: F.col("at") <= F.col("size") - overlap(m))
+    mark = head.select("item", "keys", "size", "at", "mark", F.explode(F.when(F.col("mark") < F.col("hot"), F.array(F.lit(0))).otherwise(wanted)).alias("other"))
+    mark = mark.withColumn("own", F.when(F.col("other") == 0, 0).otherwise(F.col("size")))
     x, y = mark.alias("x"), mark.alias("y")
-    met = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.size") == F.col("y.other")) & (F.col("x.other") == F.col("y.size")) & (F.col("x.item") < F.col("y.item"))
-    common = F.size(F.array_intersect("x.keys", "y.keys"))
+    met = (F.col("x.mark") == F.col("y.mark")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")) & (F.col("x.item") < F.col("y.item"))
+    # as many keys as can be common if the mark is one, at its places
+    most = F.least("x.at", "y.at") + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    met = met & (most * (p + q) >= (F.col("x.size") + F.col("y.size")) * p)
+    shared = F.array_intersect("x.keys", "y.keys")
+    common = F.size(shared)
     whole = F.col("x.size") + F.col("y.size") - common
-    near = x.join(y, met).where(common * q >= whole * p).select(F.col("x.item").alias("a"), F.col("y.item").alias("b"), (common / whole).alias("similarity"), F.lit(False).alias("same")).distinct()
-    return same.unionByName(near)
+    # a pair is taken at its first common key, so it is there once
+    near = x.join(y, met).where((common * q >= whole * p) & (F.get(shared, F.lit(0)) == F.col("x.mark")))
+    return same.unionByName(near.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"), (common / whole).alias("similarity"), F.lit(False).alias("same")))
 
 
 def tier(same: Column, similarity: Column, threshold: float = 0.6) -> Column:

@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from factloom.operators import concepts as C
 from factloom.operators import trees as T
 
 
@@ -34,3 +37,19 @@ def test_scores_take_one_pass(spark):
     d = T.score(T.tree_diff(spark.createDataFrame([(1, 2)], "a int, b int"), leaves, T.classify_ast))
     assert plan(d).count("Join ") == 1 and "BroadcastHashJoin" not in plan(d)
     assert [(r.shared, r.diff_count, r.derived, r.type_params, r.cost) for r in d.collect()] == [(1, 2, 1, 1, 1)]
+
+
+def test_similar_sets_of_frequent_keys(spark, monkeypatch):
+    r = random.Random(5)
+    sets = {i: set(r.sample(range(8), r.randint(1, 6))) for i in range(60)}
+    df = spark.createDataFrame([(i, f"k{x}") for i, s in sets.items() for x in s], "item int, key string")
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    own = sorted(first.values())
+    near = {(a, b) for a in own for b in own if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 2}
+    for most in (0, 20, 1000):
+        monkeypatch.setattr(C, "FREQUENT", most)
+        d = C.similar_sets(df)
+        assert Counter((x.a, x.b) for x in d.where(~F.col("same")).collect()) == Counter(near)
+        assert "HashAggregate(keys=[a#" not in plan(d)  # a pair is found once
