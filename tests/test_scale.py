@@ -53,3 +53,14 @@ def test_similar_sets_of_frequent_keys(spark, monkeypatch):
         d = C.similar_sets(df)
         assert Counter((x.a, x.b) for x in d.where(~F.col("same")).collect()) == Counter(near)
         assert "HashAggregate(keys=[a#" not in plan(d)  # a pair is found once
+
+
+def test_placed_rows_stay_where_they_are(spark):
+    from factloom.operators import paths as P
+    from factloom.plans.fixpoint import placed
+
+    e = placed(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", None), ("d", "a")], "src string, dst string"), "src")
+    assert "Exchange" not in plan(e.groupBy("src").count())
+    got = P.reachable(e, spark.createDataFrame([("b",), ("d",), ("x",)], "node string"))
+    assert Counter(map(tuple, got.collect())) == Counter([(r, n) for r in "bd" for n in ("a", "b", "c", None)] + [("d", "d")])
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
