@@ -15,7 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import checkpointed, grow
+from ..plans.fixpoint import checkpointed, grow, placed
 from . import paths
 
 
@@ -266,10 +266,10 @@ def single_call_site(sites: DataFrame, ops: DataFrame, name: str) -> DataFrame:
 
 def reaches_call(sites: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Whether a target (node) is among the transitive callees; the site itself doesn't count, one outside the graph is unresolved."""
-    e = checkpointed(edges.select("src", "dst").distinct())
+    e = placed(edges.select("src", "dst"), "dst", distinct=True)
     into = e.join(targets.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("func"))
-    hit = grow(into, lambda f: f.join(e, f.func == e.dst).select(F.col("src").alias("func"))).withColumn("hit", F.lit(True))
-    known = paths.nodes(edges).select(F.col("node").alias("func"), F.lit(True).alias("known"))
+    hit = grow(into, lambda f: f.join(e, f.func == e.dst).select(F.col("src").alias("func")), on="func").withColumn("hit", F.lit(True))
+    known = paths.nodes(e).select(F.col("node").alias("func"), F.lit(True).alias("known"))
     t = sites.join(hit, "func", "left").join(known, "func", "left")
     return t.select(F.col("func").alias("site"), F.when(F.col("hit"), "reaches").when(F.col("known"), "unreached").otherwise("unresolved").alias("category"))
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import checkpointed, grow
+from ..plans.fixpoint import checkpointed, grow, placed
 
 MAX_ATTRIBUTES = 63  #: of a bit mask
 
@@ -108,8 +108,8 @@ def field_context(access: DataFrame, mode: str = "write-only", cross_type_only:
 
 def propagate_writes(writes: DataFrame, edges: DataFrame) -> DataFrame:
     """(func, attribute): own writes and those of all transitive callees; on cycles, of the whole component."""
-    e = edges.select("src", "dst").distinct()
-    return grow(writes.select("func", "attribute"), lambda f: f.join(e, f.func == e.dst).select(F.col("src").alias("func"), "attribute"))
+    e = placed(edges.select("src", "dst"), "dst", distinct=True)
+    return grow(writes.select("func", "attribute"), lambda f: f.join(e, f.func == e.dst).select(F.col("src").alias("func"), "attribute"), on="func")
 
 
 # Package splits
